@@ -5,10 +5,10 @@ Spans are structs (start, end) with half-open code-point offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souqlytics.functions.text import strip
+from souqlytics.functions.text import SPACE, strip
 
 # Tag ids (fixed values): outside, begin, inside; -100 marks tokens to ignore.
 TAG_O, TAG_B, TAG_I, TAG_IGNORE = 0, 1, 2, -100
@@ -18,6 +18,18 @@ SPANS = f"array<{SPAN}>"
 MARK = ""
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A plain projection may be copied by the optimizer into filters above it and, with
+    them, into the lambdas that use it, where it would run once per array element. A
+    generator over a one-element array is not looked through.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(row)))
+
+
 def _span(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
@@ -102,13 +114,18 @@ def span_terms(text: Column, spans: Column) -> Column:
     return F.filter(cut, lambda s: (s["end"] > s["start"]) & (s["term"] != ""))
 
 
+def blanked_chars(text: Column) -> Column:
+    """The characters of a text, every kind of white space as a plain blank."""
+    return F.split(F.regexp_replace(text, rf"(?U){SPACE}", " "), "")
+
+
 def word_offsets(chars: Column) -> Column:
-    """(start, end) of the white-space words, given the text split into characters.
+    """(start, end) of the white-space words, given ``blanked_chars``.
 
-    Pass a column, not an expression: the lambda looks at it once per character.
+    Pass a column computed once (see ``once``): it is looked at per character.
     """
     def blank(c: Column) -> Column:
-        return F.coalesce(c.rlike(r"(?U)^[\s\x1c-\x1f]$"), F.lit(True))
+        return F.coalesce(c == " ", F.lit(True))
 
     def keep(found: Column) -> Column:
         return F.filter(found, lambda i: i.isNotNull())

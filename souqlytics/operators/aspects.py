@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souqlytics.functions.spans import decode_spans, span_terms
+from souqlytics.functions.spans import decode_spans, once, span_terms
 from souqlytics.functions.text import aspect_term
 
 # Sentiment classes in model order (fixed values); earlier ones win ties.
@@ -24,13 +24,18 @@ Scorer = Callable[[pd.Series, pd.Series], np.ndarray]
 
 def comment_spans(tagged: DataFrame) -> DataFrame:
     """(comment_id, text, spans) from (comment_id, text, offsets, tags)."""
-    found = tagged.withColumn("spans", decode_spans(F.col("offsets"), F.col("tags")))
-    return found.select("comment_id", "text", span_terms(F.col("text"), F.col("spans")).alias("spans"))
+    found = once(tagged, spans=decode_spans(F.col("offsets"), F.col("tags")))
+    return once(found, spans=span_terms(F.col("text"), F.col("spans"))).select(
+        "comment_id", "text", "spans"
+    )
 
 
 def aspect_pairs(spans: DataFrame) -> DataFrame:
     """One row per (comment, text, term), with the term's position in the comment."""
-    return spans.select("comment_id", "text", F.posexplode("spans").alias("pos", "s")).select(
+    # The outer form keeps the optimizer from testing the list's size beforehand, which
+    # would compute the list twice.
+    rows = spans.select("comment_id", "text", F.posexplode_outer("spans").alias("pos", "s"))
+    return rows.filter(F.col("pos").isNotNull()).select(
         "comment_id", "text", "pos", F.col("s.term").alias("term")
     )
 

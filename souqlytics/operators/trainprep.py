@@ -74,22 +74,17 @@ def _checked_examples(batches: DataFrame) -> DataFrame:
         )
 
     text = F.col("review_text")
-    return (
-        batches.select("batch", F.posexplode("examples").alias("idx", "ex"))
-        .select(
-            "batch", "idx", _text(F.col("ex.review_text")).alias("review_text"),
-            F.coalesce("ex.aspects", F.array().cast(f"array<{ASPECT}>")).alias("aspects"),
-        )
-        .withColumn("n_aspects", F.size("aspects"))
-        .withColumn(
-            "valid",
-            F.filter(
-                F.transform("aspects", lambda a: aspect(text, a)),
-                lambda a: (a["term"] != "") & _is_class(a["polarity"]) & (a["asp_start"] >= 0),
-            ),
-        )
-        .drop("aspects")
+    examples = batches.select("batch", F.posexplode_outer("examples").alias("idx", "ex"))
+    parts = S.once(
+        examples.filter(F.col("idx").isNotNull()),
+        review_text=_text(F.col("ex.review_text")),
+        aspects=F.coalesce("ex.aspects", F.array().cast(f"array<{ASPECT}>")),
     )
+    valid = F.filter(
+        F.transform("aspects", lambda a: aspect(text, a)),
+        lambda a: (a["term"] != "") & _is_class(a["polarity"]) & (a["asp_start"] >= 0),
+    )
+    return S.once(parts, valid=valid, n_aspects=F.size("aspects")).drop("ex", "aspects")
 
 
 def valid_examples(batches: DataFrame) -> DataFrame:
@@ -139,8 +134,7 @@ def _realigned(df: DataFrame, fold) -> DataFrame:
         F.col("text"), F.col("review_text"), F.col("asp_start"), F.col("asp_end"), fold
     )
     return (
-        df.withColumn("review_text", fold(F.col("text")))
-        .withColumn("_s", moved)
+        S.once(S.once(df, review_text=fold(F.col("text"))), _s=moved)
         .withColumn("asp_start", F.col("_s.start"))
         .withColumn("asp_end", F.col("_s.end"))
         .drop("_s")
@@ -222,7 +216,8 @@ def token_line_targets(lines: DataFrame) -> DataFrame:
         token_line_sentences(lines)
         .filter(F.col("polarity_raw") != "")
         .withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
-        .withColumn("span", F.explode(target_spans(F.col("words"))))
+        .withColumn("span", F.explode_outer(target_spans(F.col("words"))))
+        .filter(F.col("span").isNotNull())
         .select(
             "text",
             F.substring(
@@ -378,10 +373,10 @@ def _placed(lines: DataFrame, fold) -> DataFrame:
             F.coalesce("ex.aspects", F.array().cast(f"array<{ASPECT}>")).alias("aspects"),
         )
         .withColumn("usable", (F.col("text") != "") & (F.size("aspects") > 0))
-        .withColumn(
-            "items",
-            F.when(F.col("usable"), place_aspects(F.col("text"), F.col("aspects"))),
-        )
+    )
+    placed = F.when(F.col("usable"), place_aspects(F.col("text"), F.col("aspects")))
+    items = (
+        S.once(S.once(rows, text=F.col("text")), items=placed)
         .select("state", "category", "ei", "text", "usable", F.posexplode_outer("items").alias("ai", "i"))
         .select(
             "state", "category", "ei", "text", "usable", "ai", F.col("i.state").alias("item_state"),
@@ -389,7 +384,7 @@ def _placed(lines: DataFrame, fold) -> DataFrame:
             F.col("i.end").alias("asp_end"),
         )
     )
-    moved = _realigned(rows, fold)
+    moved = _realigned(items, fold)
     lost = (F.col("item_state") == "ok") & (F.col("asp_start") < 0)
     return moved.withColumn(
         "item_state", F.when(lost, "term_not_found").otherwise(F.col("item_state"))
@@ -514,12 +509,9 @@ def spans_per_review(df: DataFrame) -> DataFrame:
 
 def tagged_reviews(reviews: DataFrame) -> DataFrame:
     """(review_text, asp_spans) with white-space word offsets and their BIO tags."""
-    return (
-        reviews.withColumn("_chars", F.split("review_text", ""))
-        .withColumn("offsets", S.word_offsets(F.col("_chars")))
-        .drop("_chars")
-        .withColumn("tags", S.tag_tokens(F.col("offsets"), F.col("asp_spans")))
-    )
+    chars = S.once(reviews, _chars=S.blanked_chars(F.col("review_text")))
+    words = S.once(chars, offsets=S.word_offsets(F.col("_chars"))).drop("_chars")
+    return S.once(words, tags=S.tag_tokens(F.col("offsets"), F.col("asp_spans")))
 
 
 def class_weights(df: DataFrame, label: str, classes: int = 3, cap: float = WEIGHT_CAP) -> DataFrame:
