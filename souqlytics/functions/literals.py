@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from souqlytics.functions.text import strip
 
@@ -19,7 +20,7 @@ def _to_json(text: str) -> str:
         return json.dumps(text, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _literal_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_to_json, na_action="ignore")
 

@@ -1137,8 +1137,9 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     folded = spans.once(texts(spark, d), text=text.normalize(F.col("text")))
     words = F.filter(F.split("text", " "), lambda w: F.length(w) > 4)
     terms = F.filter(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(3))), lambda w: w.isNotNull())
-    return folded.select("doc_id", "text", F.explode(terms).alias("term")).select(
-        "doc_id", "text", "term",
+    rows = folded.select("doc_id", "text", F.posexplode_outer(terms).alias("no", "term"))
+    return rows.filter(F.col("term").isNotNull()).select(
+        "doc_id", "no", "text", "term",
         F.element_at(F.array(*[F.lit(c) for c in aspects.CLASSES]), (F.col("doc_id") % 3 + 1).cast("int"))
         .alias("polarity"),
         (F.instr("text", F.col("term")) - 1 + F.col("doc_id") % 2).cast("string").alias("from"),
@@ -1149,17 +1150,17 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _examples_json(spark: SparkSession, d: str) -> DataFrame:
-    """Two batches of raw model output per source, one wrapped, one a bare list."""
+    """Raw model output, wrapped and as a bare list in turn."""
     aspect = F.struct("term", F.upper("polarity").alias("polarity"))
     bad = F.struct(F.lit("no such term").alias("term"), F.lit("positive").alias("polarity"))
     per_text = _labelled(spark, d).select(
-        "doc_id",
+        (F.col("doc_id") * 2 + F.col("no")).alias("batch"),
         F.struct(F.col("text").alias("review_text"), F.array(aspect, bad).alias("aspects")).alias("ex"),
     )
     raw = F.when(
-        F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.array("ex").alias("examples")))
+        F.col("batch") % 2 == 0, F.to_json(F.struct(F.array("ex").alias("examples")))
     ).otherwise(F.to_json(F.array("ex")))
-    return per_text.select(F.col("doc_id").alias("batch"), raw.alias("raw"))
+    return per_text.select("batch", raw.alias("raw"))
 
 
 def _batches(spark: SparkSession, d: str) -> DataFrame:
