@@ -822,3 +822,495 @@ mart(
     FROM feature_aspect WHERE total_mentions > 5""",
     FEATURE_ASPECT,
 )
+
+# ---- aspect scoring -----------------------------------------------------------------
+
+CLASSES = ("negative", "neutral", "positive")
+DOCS = f"docs AS (SELECT doc_id, {collapse('text')} AS t FROM documents)"
+
+
+def words_of(docs: str) -> str:
+    """Words with their number (from 1) and character offsets; result table ``words``."""
+    return f"""words AS (SELECT doc_id, i, w, s, s + length(w) AS e FROM (
+      SELECT doc_id, i, w, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) - length(w) - 1 AS s
+      FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i
+        FROM {docs} WHERE t <> '')))"""
+
+
+SPANS = f"""{DOCS},
+{words_of('docs')},
+tagged AS (SELECT *, CASE length(w) % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE -100 END AS tag
+  FROM words),
+opened AS (SELECT *, sum(CASE WHEN tag = 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM tagged),
+spans AS (SELECT o.doc_id, min(s) AS s, max(e) AS e FROM opened o WHERE tag > 0 GROUP BY o.doc_id, g
+  HAVING count(*) FILTER (WHERE tag = 1) = 1),
+terms AS (SELECT p.doc_id AS comment_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end",
+  substring(t, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)) AS term,
+  CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY s) - 1 AS INTEGER) AS pos
+  FROM spans p JOIN docs d ON d.doc_id = p.doc_id),
+probs AS (SELECT comment_id, pos, term, a / (a + b + c)::DOUBLE AS negative, b / (a + b + c)::DOUBLE AS neutral,
+  c / (a + b + c)::DOUBLE AS positive
+  FROM (SELECT *, length(term) % 3 + 1 AS a, length(term) % 5 + 1 AS b, length(term) % 7 + 1 AS c FROM terms)),
+means AS (SELECT comment_id, term, min(pos) AS pos, count(*) AS mentions, avg(negative) AS negative,
+  avg(neutral) AS neutral, avg(positive) AS positive FROM probs GROUP BY comment_id, term),
+labelled AS (SELECT comment_id, pos, term,
+  CASE WHEN negative >= neutral AND negative >= positive THEN 'negative' WHEN neutral >= positive THEN 'neutral'
+    ELSE 'positive' END AS sentiment,
+  {', '.join(f"{half_even(f'{c} * 100', 1)} AS {c}_pct" for c in CLASSES)}, mentions FROM means)"""
+
+
+def spans_query(name: str, body: str) -> None:
+    add(name, body, ctes=SPANS)
+
+
+spans_query("i01_decode_spans", 'SELECT comment_id, "start", "end" FROM terms')
+spans_query("i02_span_terms", 'SELECT comment_id, "start", "end", term FROM terms')
+spans_query("i03_aspect_pairs", "SELECT comment_id, pos, term FROM terms")
+_rounded = ", ".join(f"{r6(c)} AS {c}" for c in CLASSES)
+spans_query("i04_mean_scores", f"SELECT comment_id, term, pos, mentions, {_rounded} FROM means")
+spans_query(
+    "i05_top_class",
+    f"SELECT sentiment, count(*) AS aspects, {big('sum(mentions)')} AS mentions FROM labelled GROUP BY sentiment",
+)
+spans_query("i06_label_aspects", "SELECT * FROM labelled")
+spans_query(
+    "i07_attach_aspects",
+    f"""SELECT d.doc_id AS id, CAST(coalesce(n, 0) AS INTEGER) AS num_aspects, first_term,
+      {big('coalesce(m, 0)')} AS mentions
+    FROM documents d LEFT JOIN (SELECT comment_id, count(*) AS n, arg_min(term, pos) AS first_term, sum(mentions) AS m
+      FROM labelled GROUP BY comment_id) a ON a.comment_id = d.doc_id""",
+)
+spans_query(
+    "i08_score_comments",
+    f"SELECT comment_id AS id, term, sentiment, {', '.join(f'{c}_pct' for c in CLASSES)} FROM labelled",
+)
+spans_query("i09_scoring_hook", f"SELECT comment_id, pos, {_rounded} FROM probs")
+
+# ---- sentiment KPIs -----------------------------------------------------------------
+
+ROWS = """aspect_rows AS (SELECT id, product_id, predicted_sentiment, aspect_1 AS predicted_aspects FROM predicted
+    WHERE aspect_1 IS NOT NULL
+  UNION ALL SELECT id, product_id, predicted_sentiment, aspect_2 FROM predicted WHERE aspect_2 IS NOT NULL)"""
+
+
+def pivot(source: str, keys: str, total: str = "total_comments") -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE predicted_sentiment = '{c}') AS {c[:3]}" for c in CLASSES)
+    pct = {c: half_even(f"{c[:3]} / nullif(CAST(neg + neu + pos AS DOUBLE), 0) * 100") for c in CLASSES}
+    known = " AND ".join(f"{k.strip()} IS NOT NULL" for k in keys.split(","))
+    return f"""SELECT {keys}, positive, negative, neutral, {half_even('positive - negative')} AS sentiment_score, {total}
+    FROM (SELECT {keys}, {', '.join(f'{e} AS {c}' for c, e in pct.items())}, neg + neu + pos AS {total}
+      FROM (SELECT {keys}, {counts} FROM {source} WHERE predicted_sentiment IS NOT NULL AND {known} GROUP BY {keys}))"""
+
+
+def favourite(name: str, where: str = "true") -> str:
+    return f"""(SELECT product_id, predicted_aspects AS {name} FROM (SELECT product_id, predicted_aspects,
+      row_number() OVER (PARTITION BY product_id ORDER BY count(*) DESC, predicted_aspects) AS rn
+      FROM aspect_rows WHERE {where} GROUP BY product_id, predicted_aspects) WHERE rn = 1)"""
+
+
+TOP_ASPECT = favourite("top_aspect")
+WORST_ASPECT = favourite("worst_aspect", "predicted_sentiment = 'negative'")
+PRODUCT_KPI = f"""product_kpi AS (SELECT p.*, t.top_aspect, w.worst_aspect FROM ({pivot('predicted', 'product_id')}) p
+    LEFT JOIN {TOP_ASPECT} t ON t.product_id = p.product_id
+    LEFT JOIN {WORST_ASPECT} w ON w.product_id = p.product_id)"""
+_subset = (
+    "id, title_fa, Brand, Category1, Category2, sub_category, Price, Rate, Rate_cnt, is_view, is_cart, is_purchase,"
+    " conversion_rate, drop_off_rate, avg_rate, comment_count, avg_like_ratio, avg_sentiment"
+)
+SUBSET = f"subset AS (SELECT {_subset} FROM master)"
+ABSA = """absa AS (SELECT s.*, k.* EXCLUDE (product_id) FROM subset s LEFT JOIN product_kpi k ON k.product_id = s.id)"""
+GOLDEN = """golden AS (SELECT a.* EXCLUDE (is_view, is_cart, is_purchase, conversion_rate), m.is_view, m.is_cart,
+    m.is_purchase, m.is_remove, m.conversion_rate, m.cart_abandon_rate FROM absa a JOIN master m ON m.id = a.id)"""
+J_ALL = ",\n".join((ROWS, F_MASTER, PRODUCT_KPI, SUBSET, ABSA, GOLDEN))
+
+
+def mood_query(name: str, body: str, ctes: str = ROWS) -> None:
+    add(name, body, "shop_log", "catalogue", "wh_comment", "predicted", "wh_aspect", ctes=ctes)
+
+
+mood_query(
+    "j00_predictions",
+    """SELECT c.id, CASE WHEN n IS NULL THEN NULL WHEN neg >= neu AND neg >= pos THEN 'negative'
+      WHEN neu >= pos THEN 'neutral' ELSE 'positive' END AS predicted_sentiment,
+      CAST(coalesce(terms, 0) AS INTEGER) AS terms
+    FROM wh_comment c LEFT JOIN (SELECT comment_id, count(*) AS n, count(term) AS terms, avg(negative_pct) AS neg,
+      avg(neutral_pct) AS neu, avg(positive_pct) AS pos FROM wh_aspect GROUP BY comment_id) a ON a.comment_id = c.id""",
+    "",
+)
+mood_query("j01_aspect_rows", "SELECT * FROM aspect_rows")
+mood_query("j02_sentiment_pivot", pivot("predicted", "product_id"))
+mood_query("j03_product_kpi", "SELECT * FROM product_kpi", f"{ROWS}, {PRODUCT_KPI}")
+mood_query("j04_top_aspect", f"SELECT * FROM {TOP_ASPECT}")
+mood_query("j05_worst_aspect", f"SELECT * FROM {WORST_ASPECT}")
+for _name, _key in (("j06_brand_kpi", "Brand"), ("j07_category_kpi", "Category1")):
+    mood_query(
+        _name, pivot("joined", _key),
+        f"joined AS (SELECT p.predicted_sentiment, c.{_key} FROM predicted p LEFT JOIN catalogue c ON c.id = p.product_id)",
+    )
+mood_query("j08_aspect_kpi", pivot("aspect_rows", "predicted_aspects", "total_mentions"))
+mood_query("j09_product_aspect_kpi", pivot("aspect_rows", "product_id, predicted_aspects", "total_mentions"))
+mood_query(
+    "j10_sentiment_distribution",
+    """SELECT predicted_sentiment, count(*) AS count FROM predicted WHERE predicted_sentiment IS NOT NULL
+    GROUP BY predicted_sentiment""",
+)
+mood_query(
+    "j11_aspect_frequency",
+    "SELECT predicted_aspects, count(*) AS count FROM aspect_rows GROUP BY predicted_aspects",
+)
+mood_query("j12_product_subset", "SELECT * FROM subset", J_ALL)
+mood_query("j13_product_master_absa", "SELECT * FROM absa", J_ALL)
+
+# ---- quality and exploration --------------------------------------------------------
+
+
+def nulls_of(table: str, columns, head: str = "") -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {head}'{c}' AS column_name, count(*) - count({c}) AS null_count,
+        (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS null_pct FROM {table}"""
+        for c in columns
+    )
+
+
+CATALOGUE_COLUMNS = (
+    "id", "title_fa", "Brand", "Category1", "Category2", "sub_category", "Seller", "Price",
+    "min_price_last_month", "Rate", "Rate_cnt",
+)
+LOG_COLUMNS = ("log_id", "user_id", "session_id", "product_id", "event_type", "timestamp", "city")
+mood_query("q01_null_overview", nulls_of("catalogue", CATALOGUE_COLUMNS), "")
+mood_query(
+    "q02_duplicate_rows",
+    """SELECT (SELECT count(*) FROM shop_log)
+      - (SELECT count(*) FROM (SELECT DISTINCT user_id, product_id, event_type FROM shop_log)) AS duplicate_rows""",
+    "",
+)
+ORACLE["q03_infinity_counts"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {'count(*) FILTER (WHERE l_discount = 0)' if c == 'per_discount' else '0::BIGINT'}"
+    " AS infinite_count FROM lineitem"
+    for c in (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax", "per_discount",
+    )
+)
+ORACLE["q03_infinity_counts"] = ORACLE["q03_infinity_counts"].replace("SELECT '", "SELECT DISTINCT '").replace(
+    "SELECT DISTINCT 'per_discount'", "SELECT 'per_discount'"
+)
+
+
+def rule_query(name: str, rule: str, condition: str, source: str, ctes: str = "") -> None:
+    mood_query(name, f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {condition}) AS violations FROM {source}", ctes)
+
+
+_known = "'view', 'add_to_cart', 'remove_from_cart', 'purchase'"
+_unknown = f"event_type IS NULL OR event_type NOT IN ({_known})"
+rule_query("q04_purchase_above_view", "purchase_above_view", "is_purchase > is_view", "master", F_MASTER)
+rule_query("q05_product_rate_range", "product_rate_range", "Rate NOT BETWEEN 0 AND 100", "catalogue")
+rule_query("q06_comment_rate_range", "comment_rate_range", "rate NOT BETWEEN 0 AND 5", "wh_comment")
+rule_query("q07_negative_price", "negative_price", "c_acctbal < 0", "customer")
+rule_query("q08_unknown_event_type", "unknown_event_type", _unknown, "shop_log")
+mood_query("q09_value_counts", "SELECT event_type, count(*) AS count FROM shop_log GROUP BY event_type", "")
+mood_query(
+    "q10_funnel_anomalies",
+    """SELECT id, title_fa, is_view, is_purchase, conversion_rate FROM master WHERE is_purchase > is_view
+    ORDER BY id LIMIT 10""",
+    F_MASTER,
+)
+mood_query(
+    "q11_spending_users",
+    """SELECT user_id, total_spend, aov, brand_diversity, category_diversity, total_sessions, avg_session_depth,
+      weekend_activity_ratio FROM users WHERE total_spend > 0""",
+    F_USERS,
+)
+mood_query(
+    "q11_discussed_products",
+    """SELECT id, Price, min_price_last_month, price_drop_ratio, review_engagement_rate FROM master
+    WHERE review_engagement_rate > 0""",
+    F_MASTER,
+)
+mood_query(
+    "q12_table_report",
+    """SELECT 'log' AS table_name, count(*) AS row_count, CAST(7 AS INTEGER) AS column_count, false AS is_empty FROM shop_log
+    UNION ALL SELECT 'catalogue', count(*), 11, false FROM catalogue
+    UNION ALL SELECT 'comments', count(*), 10, false FROM wh_comment UNION ALL SELECT 'nothing', 0, 7, true""",
+    "",
+)
+
+
+def _scan(table: str, columns, numeric, rules) -> list[str]:
+    null = "CAST(NULL AS VARCHAR)"
+    name = "log" if table == "shop_log" else table
+    every = ", ".join(columns)
+    return (
+        [f"SELECT '{name}' AS table_name, 'nulls' AS \"check\", '{c}' AS column_name, count(*) - count({c}) AS count FROM {table}" for c in columns]
+        + [f"SELECT '{name}', 'duplicates', {null}, (SELECT count(*) FROM {table}) - (SELECT count(*) FROM (SELECT DISTINCT {every} FROM {table}))"]
+        + [f"SELECT '{name}', 'rule', '{r}', count(*) FILTER (WHERE {cond}) FROM {table}" for r, cond in rules]
+        + [f"SELECT '{name}', 'infinite', '{c}', 0" for c in numeric]
+    )
+
+
+mood_query(
+    "q_scan_all_rules",
+    " UNION ALL ".join(
+        _scan(
+            "catalogue", CATALOGUE_COLUMNS, ("id", "Price", "min_price_last_month", "Rate", "Rate_cnt"),
+            (("product_rate_range", "Rate NOT BETWEEN 0 AND 100"), ("negative_price", "Price < 0")),
+        )
+        + _scan(
+            "shop_log", LOG_COLUMNS, ("log_id", "user_id", "product_id"), (("unknown_event_type", _unknown),)
+        )
+    ),
+    "",
+)
+mood_query("e01_golden_table", "SELECT * FROM golden", J_ALL)
+mood_query(
+    "e02_bubble_set",
+    """SELECT id, Price, conversion_rate, total_comments, coalesce(sentiment_score, 0) AS sentiment_score, top_aspect
+    FROM golden WHERE Price > 0 AND is_view >= 20 AND total_comments > 0""",
+    J_ALL,
+)
+_corr = (
+    "Price", "Rate", "Rate_cnt", "is_view", "is_cart", "is_remove", "is_purchase", "conversion_rate",
+    "cart_abandon_rate", "positive", "negative", "sentiment_score", "total_comments",
+)
+mood_query(
+    "e03_correlations",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})')} AS r FROM golden"
+        for i, a in enumerate(_corr) for b in _corr[i + 1:]
+    ),
+    J_ALL.replace("golden AS (", "golden AS MATERIALIZED ("),
+)
+_q = ", ".join(
+    f"{r6(f'quantile_cont(sentiment_score, {p})')} AS {n}" for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
+)
+mood_query(
+    "e04_brand_score_quartiles",
+    f"""SELECT Brand, count(sentiment_score) AS scored, min(sentiment_score) AS lowest, {_q},
+      max(sentiment_score) AS highest FROM golden
+    WHERE Brand IN (SELECT Brand FROM golden WHERE Brand IS NOT NULL GROUP BY Brand ORDER BY count(*) DESC, Brand LIMIT 10)
+    GROUP BY Brand""",
+    J_ALL,
+)
+mood_query(
+    "e05_diverging_aspects",
+    f"""SELECT predicted_aspects AS aspect, total_mentions, -negative AS negative_signed, positive
+    FROM ({pivot('aspect_rows', 'predicted_aspects', 'total_mentions')})
+    ORDER BY total_mentions DESC, predicted_aspects LIMIT 15""",
+)
+from_log(
+    "e06_funnel_stages",
+    f"""SELECT 'View' AS stage, {big('sum(is_view)')} AS total FROM enriched
+    UNION ALL SELECT 'Add to Cart', {big('sum(is_cart)')} FROM enriched
+    UNION ALL SELECT 'Purchase', {big('sum(is_purchase)')} FROM enriched
+    UNION ALL SELECT 'Remove from Cart', {big('sum(is_remove)')} FROM enriched""",
+)
+from_log(
+    "e07_hourly_trend",
+    f"""SELECT hour, {big('sum(is_view)')} AS is_view, {big('sum(is_purchase)')} AS is_purchase FROM enriched
+    GROUP BY hour""",
+)
+
+# ---- labelled spans -----------------------------------------------------------------
+
+LABELLED = NORM + """,
+picked AS (SELECT doc_id, text, list_filter(string_split(text, ' '), lambda w: length(w) > 4) AS ws FROM norm),
+labelled AS (SELECT doc_id, no, text, term, CASE doc_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END
+    AS polarity, strpos(text, term) - 1 AS place, strpos(text, term) - 1 + doc_id % 2 AS given
+  FROM (SELECT doc_id, 0 AS no, text, ws[1] AS term FROM picked UNION ALL SELECT doc_id, 1, text, ws[4] FROM picked)
+  WHERE term IS NOT NULL),
+second AS (SELECT *, CASE WHEN strpos(substring(text, place + 1 + length(term)), term) > 0
+    THEN place + length(term) + strpos(substring(text, place + 1 + length(term)), term) - 1 END AS place2 FROM labelled),
+located AS (SELECT doc_id, no, text, term, polarity,
+    CASE WHEN substring(text, given + 1, length(term)) = term THEN given ELSE place END AS s FROM labelled)"""
+
+
+def label_query(name: str, body: str, ctes: str = "") -> None:
+    add(name, body, ctes=LABELLED + (",\n" + ctes if ctes else ""))
+
+
+_int = "CAST({} AS INTEGER)".format
+label_query(
+    "p01_valid_examples",
+    f"""SELECT text AS review_text, term, polarity, {_int('place')} AS asp_start, {_int('place + length(term)')} AS asp_end
+    FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, no) AS rn FROM labelled) WHERE rn = 1""",
+)
+label_query(
+    "p01_example_counts",
+    "SELECT count(DISTINCT text) AS kept, count(*) AS dropped FROM labelled",
+)
+label_query(
+    "p02_extract_examples",
+    f"SELECT doc_id * 2 + no AS batch, text AS review_text, {_int('2')} AS aspects FROM labelled",
+)
+ORACLE["p03_batch_plan"] = """WITH kinds AS (SELECT p_type AS category, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS hints,
+    row_number() OVER (ORDER BY p_type) - 1 AS pos FROM part GROUP BY p_type)
+SELECT CAST(b AS BIGINT) AS batch, category, hints FROM range((SELECT count(*) FROM part)) r(b)
+JOIN kinds ON pos = b % (SELECT count(*) FROM kinds)"""
+label_query(
+    "p04_located_pairs",
+    f"SELECT doc_id, term, {_int('s')} AS asp_start, {_int('s + length(term)')} AS asp_end FROM located",
+)
+TARGETS = f"""{DOCS},
+{words_of('docs')},
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM words WHERE length(w) % 4 = 0),
+targets AS (SELECT r.doc_id, {_int('min(s)')} AS asp_start, {_int('max(e)')} AS asp_end,
+    string_agg(w, ' ' ORDER BY i) AS term, CASE r.doc_id % 4 WHEN 0 THEN '-1' WHEN 1 THEN '0' ELSE '+2' END AS polarity_raw
+  FROM runs r WHERE r.doc_id % 4 <> 3 GROUP BY r.doc_id, g)"""
+add(
+    "p05_token_line_targets",
+    """SELECT md5(d.t) AS text_md5, term, asp_start, asp_end, polarity_raw FROM targets t
+    JOIN docs d ON d.doc_id = t.doc_id""",
+    ctes=TARGETS,
+)
+add(
+    "p06_polarity_map",
+    """SELECT CASE polarity_raw WHEN '-1' THEN 'negative' WHEN '0' THEN 'neutral' ELSE 'positive' END AS polarity,
+      count(*) AS targets FROM targets GROUP BY 1""",
+    ctes=TARGETS,
+)
+PLACED = """placed AS (SELECT doc_id, text, term, polarity, place AS s FROM second WHERE doc_id % 6 < 3
+  UNION ALL SELECT doc_id, text, term, polarity, place2 FROM second WHERE doc_id % 6 < 3
+  UNION ALL SELECT doc_id, text, term, polarity, s FROM located WHERE doc_id % 6 = 3)"""
+label_query(
+    "p07_json_line_examples",
+    f"""SELECT md5(text) AS text_md5, term, polarity, {_int('s')} AS asp_start, {_int('s + length(term)')} AS asp_end,
+      CASE WHEN doc_id % 6 = 1 THEN 'c' END AS category FROM placed WHERE s IS NOT NULL""",
+    PLACED,
+)
+label_query(
+    "p07_json_line_counts",
+    """SELECT (SELECT count(*) FROM labelled) AS total_lines,
+      (SELECT count(*) FROM labelled WHERE doc_id % 6 = 4) AS json_decode_fail,
+      (SELECT count(*) FROM labelled WHERE doc_id % 6 = 5) AS no_matching_key,
+      (SELECT count(*) FROM labelled WHERE doc_id % 6 < 4) AS total_examples, 0::BIGINT AS no_text_or_aspects,
+      count(*) AS total_aspects, 0::BIGINT AS polarity_invalid, count(*) - count(s) AS term_not_found,
+      count(s) AS success FROM placed""",
+    PLACED,
+)
+label_query(
+    "p08_non_overlapping",
+    f"""SELECT doc_id, term, CASE WHEN s IS NULL THEN 'term_not_found' ELSE 'ok' END AS state, {_int('s')} AS asp_start,
+      {_int('s + length(term)')} AS asp_end
+    FROM (SELECT doc_id, term, place AS s FROM second UNION ALL SELECT doc_id, term, place2 FROM second)""",
+)
+label_query(
+    "p09_realign",
+    f"""SELECT doc_id, term, {_int('s')} AS asp_start, {_int('s + length(term)')} AS asp_end
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, no
+        ORDER BY abs(s - (place + 4) / (length(text) + 9)::DOUBLE * length(text)), s) AS rn FROM hits) WHERE rn = 1""",
+    """pieces AS (SELECT doc_id, no, text, term, place, unnest(string_split(text, term)) AS piece,
+      generate_subscripts(string_split(text, term), 1) AS k FROM labelled),
+    hits AS (SELECT doc_id, no, text, term, place, s FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, no ORDER BY k)
+        + (k - 1) * length(term) AS s, max(k) OVER (PARTITION BY doc_id, no) AS last FROM pieces) WHERE k < last)""",
+)
+ORACLE["p10_split_rows"] = """WITH n AS (SELECT lang, count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS v
+  FROM documents GROUP BY lang)
+SELECT lang, 'validation' AS split, v AS n FROM n WHERE v > 0 UNION ALL SELECT lang, 'train', n - v FROM n"""
+label_query(
+    "p11_add_extra",
+    """SELECT false AS synthetic, 2 * count(*) AS n FROM labelled
+    UNION ALL SELECT true, least(count(*), CAST(floor(2 * count(*) * 0.15) AS BIGINT)) FROM labelled""",
+)
+label_query(
+    "p12_label_shares",
+    f"""SELECT {_int('doc_id % 3')} AS label_id, count(*) AS count,
+      count(*) / (SELECT count(*) FROM labelled)::DOUBLE AS share FROM labelled GROUP BY 1""",
+)
+PER_REVIEW = "per_review AS (SELECT DISTINCT text, s, s + length(term) AS e FROM located)"
+label_query(
+    "p13_spans_per_review",
+    f"""SELECT md5(text) AS text_md5, {_int('s')} AS "start", {_int('e')} AS "end" FROM per_review""",
+    PER_REVIEW,
+)
+TAGS = f"""{PER_REVIEW},
+reviews AS (SELECT DISTINCT text AS doc_id, text AS t FROM per_review),
+{words_of('reviews')},
+hits AS (SELECT w.doc_id, w.i, min(p.s) AS first FROM words w JOIN per_review p ON p.text = w.doc_id AND w.s >= p.s
+  AND w.e <= p.e GROUP BY w.doc_id, w.i),
+tags AS (SELECT w.doc_id, CASE WHEN h.first IS NULL THEN 0 WHEN h.first = w.s THEN 1 ELSE 2 END AS tag
+  FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.i = w.i)"""
+label_query(
+    "p14_tagged_reviews",
+    f"""SELECT md5(doc_id) AS text_md5, {_int('count(*)')} AS tokens,
+      {_int('count(*) FILTER (WHERE tag = 1)')} AS begins, {_int('count(*) FILTER (WHERE tag = 2)')} AS insides
+    FROM tags GROUP BY doc_id""",
+    TAGS,
+)
+label_query(
+    "p15_class_weights",
+    f"""SELECT {_int('doc_id % 3')} AS label_id, count(*) AS count,
+      least((SELECT count(*) FROM labelled)::DOUBLE / (count(*) * 3), 15) AS weight FROM labelled GROUP BY 1""",
+)
+TAGGINGS = f"""{DOCS},
+{words_of('docs')},
+both_tags AS (SELECT doc_id, i, tag AS t, CASE WHEN (i - 1) % 6 = 0 THEN 0 ELSE tag END AS p FROM (
+  SELECT *, CASE length(w) % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE -100 END AS tag FROM words)
+  WHERE tag <> -100)"""
+
+
+def entity_runs(column: str) -> str:
+    return f"""{column}_runs AS (SELECT doc_id, min(k) AS a, max(k) AS b FROM (
+      SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (
+        SELECT *, CASE WHEN tag = 1 OR (tag = 2 AND coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY k), 0) = 0)
+          THEN 1 ELSE 0 END AS begins
+        FROM (SELECT doc_id, {column} AS tag, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM both_tags)))
+      WHERE tag > 0 GROUP BY doc_id, g)"""
+
+
+add(
+    "p16_entity_scores",
+    f"""SELECT hits, true_spans, predicted_spans, {share('hits', 'predicted_spans')} AS precision,
+      {share('hits', 'true_spans')} AS recall,
+      {share('hits', 'predicted_spans')} * {share('hits', 'true_spans')} * 2
+        / ({share('hits', 'predicted_spans')} + {share('hits', 'true_spans')}) AS f1,
+      {share('hits', 'predicted_spans')} * {share('hits', 'true_spans')} * 2
+        / ({share('hits', 'predicted_spans')} + {share('hits', 'true_spans')}) AS f1_macro
+    FROM (SELECT (SELECT count(*) FROM t_runs) AS true_spans, (SELECT count(*) FROM p_runs) AS predicted_spans,
+      (SELECT count(*) FROM t_runs JOIN p_runs USING (doc_id, a, b)) AS hits)""",
+    ctes=f"{TAGGINGS}, {entity_runs('t')}, {entity_runs('p')}",
+)
+ORACLE["p17_class_scores"] = f"""WITH x AS (SELECT quality AS t, 1 - toxic AS p FROM labels),
+k AS (SELECT c, count(*) FILTER (WHERE t = c) AS support, count(*) FILTER (WHERE p = c) AS called,
+  count(*) FILTER (WHERE t = c AND p = c) AS hits FROM x, (SELECT t AS c FROM x UNION SELECT p FROM x) GROUP BY c),
+s AS (SELECT *, coalesce({share('hits', 'called')}, 0) AS pr, coalesce({share('hits', 'support')}, 0) AS re FROM k),
+f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM s)
+SELECT sum(hits) / sum(support)::DOUBLE AS accuracy, {r6('avg(f1)')} AS f1_macro,
+  {r6('sum(f1 * support) / sum(support)')} AS f1_weighted, {r6('avg(pr)')} AS precision_macro,
+  {r6('avg(re)')} AS recall_macro FROM f"""
+add(
+    "p18_tag_distribution",
+    f"""SELECT 'true' AS kind, {_int('t')} AS tag, count(*) AS count FROM both_tags GROUP BY t
+    UNION ALL SELECT 'predicted', {_int('p')}, count(*) FROM both_tags GROUP BY p""",
+    ctes=TAGGINGS,
+)
+label_query(
+    "p19_untagged_reviews",
+    """SELECT count(*) FILTER (WHERE top = 0) AS without_aspect, count(*) AS reviews
+    FROM (SELECT doc_id, max(tag) AS top FROM tags GROUP BY doc_id)""",
+    TAGS,
+)
+label_query(
+    "p19_multi_aspect_reviews",
+    """SELECT count(*) FILTER (WHERE n > 1) AS multi_aspect, count(*) AS reviews
+    FROM (SELECT text, count(DISTINCT term) AS n FROM labelled GROUP BY text)""",
+)
+
+# ---- vectors ------------------------------------------------------------------------
+
+ORACLE["x01_embedding_input"] = "SELECT doc_id, 'passage: ' || text AS text FROM documents"
+ORACLE["x02_unit_vectors"] = f"""SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, {r6('x / len')} AS x FROM (
+  SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos,
+    sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) AS len FROM embeddings)"""
+ORACLE["x03_vector_check"] = """SELECT valid, count(*) AS n FROM (
+  SELECT vec_id % 7 NOT IN (1, 2) AND len(embedding) = 64 AS valid FROM embeddings) GROUP BY valid"""
+ORACLE["x04_pair_similarity"] = f"""SELECT a.vec_id,
+  {r6('list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))')} AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+ORACLE["x05_top_k_cosine"] = f"""WITH sums AS (SELECT label, pos, sum(x) AS x FROM (
+    SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+  GROUP BY label, pos),
+centres AS (SELECT label, list(x ORDER BY pos) AS v FROM sums GROUP BY label),
+scored AS (SELECT CAST(label AS BIGINT) AS query_id, vec_id AS id,
+  list_cosine_similarity(c.v, CAST(e.embedding AS DOUBLE[])) AS cosine FROM centres c, (SELECT vec_id, embedding FROM embeddings) e)
+SELECT query_id, id, {r6('cosine')} AS cosine, {_int('rank')} AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM scored) WHERE rank <= 10"""
