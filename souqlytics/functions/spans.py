@@ -5,10 +5,13 @@ Spans are structs (start, end) with half-open code-point offsets.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from souqlytics.functions.text import SPACE, strip
+from souqlytics.functions.text import strip
 
 # Tag ids (fixed values): outside, begin, inside; -100 marks tokens to ignore.
 TAG_O, TAG_B, TAG_I, TAG_IGNORE = 0, 1, 2, -100
@@ -114,41 +117,58 @@ def span_terms(text: Column, spans: Column) -> Column:
     return F.filter(cut, lambda s: (s["end"] > s["start"]) & (s["term"] != ""))
 
 
-def blanked_chars(text: Column) -> Column:
-    """The characters of a text, every kind of white space as a plain blank."""
-    return F.split(F.regexp_replace(text, rf"(?U){SPACE}", " "), "")
+# White space by code point, up to the last such character.
+_BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _word_offsets(texts: pa.Array) -> pa.Array:
+    """All texts of a batch at once: one code-point array, cut where blanks begin and end."""
+    strings = texts.fill_null("").to_pylist()
+    codes = np.frombuffer(" ".join(strings).encode("utf-32-le"), dtype="<u4")
+    blank = _BLANK[np.minimum(codes, len(_BLANK) - 1)]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1]))) if len(codes) else np.empty(0, int)
+    ends = np.flatnonzero(~blank & np.concatenate((blank[1:], [True]))) + 1 if len(codes) else starts
+    sizes = np.fromiter((len(t) for t in strings), dtype="int64", count=len(strings))
+    base = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype("int64")
+    row = np.searchsorted(base, starts, side="right") - 1
+    lists = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(strings)))))
+    spans = pa.StructArray.from_arrays(
+        [pa.array(starts - base[row], pa.int32()), pa.array(ends - base[row], pa.int32())],
+        names=["start", "end"],
+    )
+    return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), spans)
 
 
-def word_offsets(chars: Column) -> Column:
-    """(start, end) of the white-space words, given ``blanked_chars``.
+def word_offsets(text: Column) -> Column:
+    """(start, end) of the white-space words.
 
-    Pass a column computed once (see ``once``): it is looked at per character.
+    A running length per word is nothing the built-in array functions give in linear
+    time, so whole Arrow batches go through numpy. Put it behind ``once``.
     """
-    def blank(c: Column) -> Column:
-        return F.coalesce(c == " ", F.lit(True))
-
-    def keep(found: Column) -> Column:
-        return F.filter(found, lambda i: i.isNotNull())
-
-    starts = keep(F.transform(chars, lambda c, i: F.when(~blank(c) & blank(F.get(chars, i - 1)), i)))
-    ends = keep(F.transform(chars, lambda c, i: F.when(~blank(c) & blank(F.get(chars, i + 1)), i + 1)))
-    return F.zip_with(starts, ends, _span)
+    return _word_offsets(text)
 
 
 def occurrences(text: Column, term: Column) -> Column:
     """Start positions of the non-overlapping occurrences of ``term``, left to right."""
     pieces = F.split(F.replace(F.translate(text, MARK, " "), term, F.lit(MARK)), MARK)
-    size = F.length(term)
-    # Running length over the pieces in front of each hit; hits are few.
+    # Running length over the pieces in front of each hit; hits are few. What stays the
+    # same rides in the start value, which is evaluated once and not once per step.
+    start = F.struct(
+        F.length(term).alias("size"), F.lit(0).alias("pos"),
+        F.array().cast("array<int>").alias("found"),
+    )
     folded = F.aggregate(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("found")),
+        start,
         lambda acc, piece: F.struct(
-            (acc["pos"] + F.length(piece) + size).alias("pos"),
+            acc["size"].alias("size"),
+            (acc["pos"] + F.length(piece) + acc["size"]).alias("pos"),
             F.array_append(acc["found"], acc["pos"] + F.length(piece)).alias("found"),
         ),
+        lambda acc: acc["found"],
     )
-    return F.when(size > 0, folded["found"]).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(term) > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
 def check_or_find(text: Column, term: Column, start: Column, end: Column) -> Column:
@@ -174,12 +194,24 @@ def realign(text: Column, new_text: Column, start: Column, end: Column, fold) ->
     """
     inside = (start >= 0) & (end >= 0) & (end <= F.length(text)) & (start < end)
     term = fold(F.when(inside, F.substring(text, start + 1, end - start)))
-    found = occurrences(new_text, term)
     goal = start / F.greatest(F.length(text), F.lit(1)) * F.length(new_text)
-    best = F.array_min(
-        F.transform(found, lambda p: F.struct(F.abs(p - goal).alias("far"), p.alias("pos")))
-    )["pos"]
-    return F.when(best.isNotNull(), _span(best, best + F.length(term))).otherwise(
+    nowhere = F.struct(
+        goal.cast("double").alias("goal"), F.lit(None).cast("double").alias("far"),
+        F.lit(None).cast("int").alias("pos"),
+    )
+
+    def nearer(acc: Column, p: Column) -> Column:
+        far = F.abs(p - acc["goal"])
+        better = acc["far"].isNull() | (far < acc["far"])
+        return F.struct(
+            acc["goal"].alias("goal"),
+            F.when(better, far).otherwise(acc["far"]).alias("far"),
+            F.when(better, p).otherwise(acc["pos"]).alias("pos"),
+        )
+
+    best = F.aggregate(occurrences(new_text, term), nowhere, nearer, lambda acc: acc["pos"])
+    size = F.length(term)
+    return F.when(best.isNotNull(), _span(best, best + size)).otherwise(
         _span(F.lit(-1), F.lit(-1))
     )
 

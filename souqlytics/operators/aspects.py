@@ -40,25 +40,36 @@ def aspect_pairs(spans: DataFrame) -> DataFrame:
     )
 
 
-def score_pairs(pairs: DataFrame, scorer: Scorer) -> DataFrame:
+def score_pairs(spans: DataFrame, scorer: Scorer, pairs_per_call: int = 4096) -> DataFrame:
     """``scorer(texts, terms)`` gives class probabilities, one row of three per pair.
 
-    It runs batch by batch inside the tasks; a model is loaded by the scorer itself.
+    Takes ``comment_spans``: a text crosses to Python once per comment, the pairs are
+    lined up there. A model is loaded by the scorer itself.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            probs = np.asarray(scorer(batch["text"], batch["term"]), dtype="float64")
-            yield pd.DataFrame(
+            counts = batch["terms"].map(len).to_numpy("int64")
+            if not counts.sum():
+                continue
+            pairs = pd.DataFrame(
                 {
-                    "comment_id": batch["comment_id"],
-                    "pos": batch["pos"],
-                    "term": batch["term"],
-                    "probs": list(probs.reshape(len(batch), len(CLASSES))),
+                    "comment_id": np.repeat(batch["comment_id"].to_numpy(), counts),
+                    "text": np.repeat(batch["text"].to_numpy(dtype=object), counts),
+                    "pos": np.concatenate([np.arange(n) for n in counts]).astype("int32"),
+                    "term": np.concatenate([np.asarray(t, dtype=object) for t in batch["terms"]]),
                 }
             )
+            for at in range(0, len(pairs), pairs_per_call):
+                part = pairs.iloc[at:at + pairs_per_call]
+                probs = np.asarray(scorer(part["text"], part["term"]), dtype="float64")
+                probs = probs.reshape(len(part), len(CLASSES))
+                yield part[["comment_id", "pos", "term"]].assign(
+                    **{c: probs[:, i] for i, c in enumerate(CLASSES)}
+                )
 
-    schema = "comment_id bigint, pos int, term string, probs array<double>"
-    return pairs.select("comment_id", "text", "pos", "term").mapInPandas(run, schema)
+    schema = "comment_id bigint, pos int, term string, " + ", ".join(f"{c} double" for c in CLASSES)
+    terms = F.transform("spans", lambda s: s["term"]).alias("terms")
+    return spans.select("comment_id", "text", terms).mapInPandas(run, schema)
 
 
 def mean_scores(scored: DataFrame) -> DataFrame:
@@ -70,7 +81,7 @@ def mean_scores(scored: DataFrame) -> DataFrame:
         .agg(
             F.min("pos").alias("pos"),
             F.count(F.lit(1)).alias("mentions"),
-            *[F.avg(F.col("probs")[i]).alias(c) for i, c in enumerate(CLASSES)],
+            *[F.avg(c).alias(c) for c in CLASSES],
         )
     )
 
@@ -114,6 +125,6 @@ def attach_aspects(comments: DataFrame, labelled: DataFrame, key: str = "id") ->
 
 
 def score_comments(comments: DataFrame, tagged: DataFrame, scorer: Scorer) -> DataFrame:
-    """I01 to I07 in a row."""
-    labelled = label_aspects(mean_scores(score_pairs(aspect_pairs(comment_spans(tagged)), scorer)))
+    """Spans, scores, means, labels and the list per comment in a row."""
+    labelled = label_aspects(mean_scores(score_pairs(comment_spans(tagged), scorer)))
     return attach_aspects(comments, labelled)

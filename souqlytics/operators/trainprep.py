@@ -129,12 +129,17 @@ def example_counts(batches: DataFrame) -> DataFrame:
 
 
 def _realigned(df: DataFrame, fold) -> DataFrame:
-    """Offsets moved to the folded text; expects text, asp_start, asp_end."""
+    """Offsets moved to the folded text; expects text, asp_start, asp_end.
+
+    A table that already has ``review_text`` is taken to be folded.
+    """
     moved = S.realign(
         F.col("text"), F.col("review_text"), F.col("asp_start"), F.col("asp_end"), fold
     )
+    if "review_text" not in df.columns:
+        df = S.once(df, review_text=fold(F.col("text")))
     return (
-        S.once(S.once(df, review_text=fold(F.col("text"))), _s=moved)
+        S.once(df, _s=moved)
         .withColumn("asp_start", F.col("_s.start"))
         .withColumn("asp_end", F.col("_s.end"))
         .drop("_s")
@@ -270,10 +275,15 @@ def place_aspects(text: Column, aspects: Column) -> Column:
     def free(used: Column, start: Column, size: Column) -> Column:
         return ~F.exists(used, lambda u: (start < u["end"]) & (start + size > u["start"]))
 
+    def tidy(a: Column) -> Column:
+        return F.struct(
+            _text(a["term"]).alias("term"), F.lower(_text(a["polarity"])).alias("polarity"),
+            a["asp_start"].try_cast("int").alias("start"), a["asp_end"].try_cast("int").alias("end"),
+        )
+
     def step(acc: Column, a: Column) -> Column:
-        term, polarity = _text(a["term"]), F.lower(_text(a["polarity"]))
+        term, start, end = a["term"], a["start"], a["end"]
         size = F.length(term)
-        start, end = a["asp_start"].try_cast("int"), a["asp_end"].try_cast("int")
         given = F.coalesce(
             (start >= 0) & (start < end) & (end <= F.length(text))
             & (F.substring(text, start + 1, end - start) == term),
@@ -282,26 +292,36 @@ def place_aspects(text: Column, aspects: Column) -> Column:
         hit = F.get(
             F.filter(S.occurrences(text, term), lambda p: free(acc["used"], p, size)), F.lit(0)
         )
-        usable = (term != "") & _is_class(polarity)
+        usable = (term != "") & _is_class(a["polarity"])
         at = F.when(usable, F.when(given, start).otherwise(hit))
-        span = F.struct(at.alias("start"), (at + size).alias("end"))
         state = F.when(~usable, "polarity_invalid").when(at.isNull(), "term_not_found").otherwise("ok")
-        item = F.struct(
-            state.alias("state"), term.alias("term"), polarity.alias("polarity"),
-            at.alias("start"), (at + size).alias("end"),
-        )
-        return F.struct(
-            F.when(at.isNotNull(), F.array_append(acc["used"], span))
-            .otherwise(acc["used"])
-            .alias("used"),
-            F.array_append(acc["items"], item).alias("items"),
+        placed = F.struct(at.alias("start"), (at + size).alias("end"), state.alias("state"))
+        # A one-element list names the result, so that it is worked out once.
+        return F.get(
+            F.transform(F.array(placed), lambda x: F.struct(
+                F.when(
+                    x["start"].isNotNull(),
+                    F.array_append(
+                        acc["used"], F.struct(x["start"].alias("start"), x["end"].alias("end"))
+                    ),
+                ).otherwise(acc["used"]).alias("used"),
+                F.array_append(
+                    acc["items"],
+                    F.struct(
+                        x["state"].alias("state"), term.alias("term"),
+                        a["polarity"].alias("polarity"), x["start"].alias("start"),
+                        x["end"].alias("end"),
+                    ),
+                ).alias("items"),
+            )),
+            F.lit(0),
         )
 
     items = "array<struct<state:string,term:string,polarity:string,start:int,end:int>>"
     initial = F.struct(
         F.array().cast(S.SPANS).alias("used"), F.array().cast(items).alias("items")
     )
-    return F.aggregate(aspects, initial, step, lambda acc: acc["items"])
+    return F.aggregate(F.transform(aspects, tidy), initial, step, lambda acc: acc["items"])
 
 
 def _json_examples(lines: DataFrame) -> DataFrame:
@@ -376,10 +396,14 @@ def _placed(lines: DataFrame, fold) -> DataFrame:
     )
     placed = F.when(F.col("usable"), place_aspects(F.col("text"), F.col("aspects")))
     items = (
-        S.once(S.once(rows, text=F.col("text")), items=placed)
-        .select("state", "category", "ei", "text", "usable", F.posexplode_outer("items").alias("ai", "i"))
+        S.once(S.once(rows, text=F.col("text"), review_text=fold(F.col("text"))), items=placed)
+        .select(
+            "state", "category", "ei", "text", "review_text", "usable",
+            F.posexplode_outer("items").alias("ai", "i"),
+        )
         .select(
-            "state", "category", "ei", "text", "usable", "ai", F.col("i.state").alias("item_state"),
+            "state", "category", "ei", "text", "review_text", "usable", "ai",
+            F.col("i.state").alias("item_state"),
             F.col("i.polarity").alias("polarity"), F.col("i.start").alias("asp_start"),
             F.col("i.end").alias("asp_end"),
         )
@@ -509,8 +533,7 @@ def spans_per_review(df: DataFrame) -> DataFrame:
 
 def tagged_reviews(reviews: DataFrame) -> DataFrame:
     """(review_text, asp_spans) with white-space word offsets and their BIO tags."""
-    chars = S.once(reviews, _chars=S.blanked_chars(F.col("review_text")))
-    words = S.once(chars, offsets=S.word_offsets(F.col("_chars"))).drop("_chars")
+    words = S.once(reviews, offsets=S.word_offsets(F.col("review_text")))
     return S.once(words, tags=S.tag_tokens(F.col("offsets"), F.col("asp_spans")))
 
 

@@ -108,8 +108,7 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
 
     base = texts(spark, d).withColumnRenamed("doc_id", "comment_id")
     base = spans.once(base, text=text.collapse_spaces(F.col("text")))
-    base = spans.once(base, _chars=spans.blanked_chars(F.col("text")))
-    base = spans.once(base, offsets=spans.word_offsets(F.col("_chars"))).drop("_chars")
+    base = spans.once(base, offsets=spans.word_offsets(F.col("text")))
     return spans.once(base, tags=F.transform("offsets", tag))
 
 
@@ -121,8 +120,7 @@ def length_scorer(texts_: pd.Series, terms: pd.Series) -> np.ndarray:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    pairs = aspects.aspect_pairs(aspects.comment_spans(tagged(spark, d)))
-    return aspects.score_pairs(pairs, length_scorer)
+    return aspects.score_pairs(aspects.comment_spans(tagged(spark, d)), length_scorer)
 
 
 # ---- sources and sinks --------------------------------------------------------------
@@ -927,10 +925,7 @@ def _(spark, d):
 
 @query("i09_scoring_hook")
 def _(spark, d):
-    one = scored(spark, d).select(
-        "comment_id", "pos", *[F.col("probs")[i].alias(c) for i, c in enumerate(aspects.CLASSES)]
-    )
-    return r6(one, *aspects.CLASSES)
+    return r6(scored(spark, d).drop("term"), *aspects.CLASSES)
 
 
 # ---- sentiment KPIs -----------------------------------------------------------------
