@@ -50,11 +50,11 @@ def enrich_log(log: DataFrame) -> DataFrame:
     return add_event_flags(add_time_parts(log))
 
 
-def _flag_totals(enriched: DataFrame, key: str, flags: list[str]) -> DataFrame:
+def _flag_totals(enriched: DataFrame, key: str, flags: list[str], *more: Column) -> DataFrame:
     return (
         enriched.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(*[F.sum(f).alias(f) for f in flags])
+        .agg(*[F.sum(f).alias(f) for f in flags], *more)
     )
 
 
@@ -62,9 +62,9 @@ def _per(a: str, b: str) -> Column:
     return F.col(a) / (F.col(b) + 1)
 
 
-def user_totals(enriched: DataFrame) -> DataFrame:
-    """F03."""
-    return _flag_totals(enriched, "user_id", list(FLAGS)).withColumns(
+def user_totals(enriched: DataFrame, *more: Column) -> DataFrame:
+    """F03; further aggregates can ride along in the same pass."""
+    return _flag_totals(enriched, "user_id", list(FLAGS), *more).withColumns(
         {
             "conversion_rate": _per("is_purchase", "is_view"),
             "remove_rate": _per("is_remove", "is_cart"),
@@ -115,13 +115,13 @@ def user_sessions(enriched: DataFrame) -> DataFrame:
     )
 
 
+def _weekend() -> Column:
+    return F.avg("is_weekend").alias("weekend_activity_ratio")
+
+
 def weekend_ratio(enriched: DataFrame) -> DataFrame:
     """F09."""
-    return (
-        enriched.filter(F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(F.avg("is_weekend").alias("weekend_activity_ratio"))
-    )
+    return _flag_totals(enriched, "user_id", [], _weekend())
 
 
 def purchase_value(enriched: DataFrame, products: DataFrame) -> DataFrame:
@@ -151,12 +151,13 @@ def purchase_value(enriched: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def user_features(enriched: DataFrame, products: DataFrame) -> DataFrame:
-    """all parts are keyed by user, so the joins reuse the aggregates' partitioning."""
+    """totals and weekend share in one pass over the log, sessions and purchases in one
+    each; all are keyed by user, so the joins reuse the aggregates' partitioning.
+    """
     filled = ["total_spend", "aov", "brand_diversity", "category_diversity"]
     return (
-        user_totals(enriched)
+        user_totals(enriched, _weekend())
         .join(user_sessions(enriched), "user_id", "left")
-        .join(weekend_ratio(enriched), "user_id", "left")
         .join(purchase_value(enriched, products), "user_id", "left")
         .fillna(0, subset=filled)
     )

@@ -14,6 +14,8 @@ from souqlytics.functions.vectors import cosine, unit
 from souqlytics.session import stage
 
 QUERY_BYTES = 64 * 1024 * 1024
+# Scores held at a time in a task.
+SCORE_CELLS = 4_000_000
 
 
 def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -42,18 +44,17 @@ def _search(corpus: DataFrame, ids: list[int], queries: np.ndarray, k: int) -> D
         n = len(names)
         best_score = np.full((n, 0), 0.0)
         best_id = np.zeros((n, 0), dtype="int64")
+        step = max(1, SCORE_CELLS // n)
         for batch in batches:
-            if batch.empty:
-                continue
-            score = matrix @ _unit_rows(batch["vector"]).T
-            score = np.concatenate([best_score, score], axis=1)
-            found = np.concatenate(
-                [best_id, np.broadcast_to(batch["id"].to_numpy("int64"), (n, len(batch)))], axis=1
-            )
-            # Highest score first, then the lower id.
-            order = np.lexsort((found, -score), axis=1)[:, :k]
-            best_score = np.take_along_axis(score, order, axis=1)
-            best_id = np.take_along_axis(found, order, axis=1)
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at:at + step]
+                score = np.concatenate([best_score, matrix @ _unit_rows(part["vector"]).T], axis=1)
+                found = np.broadcast_to(part["id"].to_numpy("int64"), (n, len(part)))
+                found = np.concatenate([best_id, found], axis=1)
+                # Highest score first, then the lower id.
+                order = np.lexsort((found, -score), axis=1)[:, :k]
+                best_score = np.take_along_axis(score, order, axis=1)
+                best_id = np.take_along_axis(found, order, axis=1)
         if best_id.shape[1]:
             yield pd.DataFrame(
                 {

@@ -44,20 +44,32 @@ def clean_job(spark: SparkSession, source: str, target: str) -> dict[str, DataFr
 
 
 def feature_tables(
-    products: DataFrame | None, log: DataFrame | None, comments: DataFrame | None
+    products: DataFrame | None, log: DataFrame | None, comments: DataFrame | None,
+    stage_shared: bool = False,
 ) -> dict[str, DataFrame]:
-    """every feature table the given inputs allow."""
+    """every feature table the given inputs allow.
+
+    ``stage_shared`` writes the per-product results that other tables are built from,
+    so the log is not aggregated again for each of them.
+    """
+    def shared(df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name) if stage_shared else df
+
     tables: dict[str, DataFrame] = {}
     if log is not None:
         enriched = behaviour.enrich_log(log)
         tables["user_behavior_enriched"] = enriched
         tables["user_features"] = behaviour.user_totals(enriched)
-        tables["product_behavior"] = behaviour.product_totals(enriched)
+        tables["product_behavior"] = shared(
+            behaviour.product_totals(enriched), "product_behavior"
+        )
         tables["city_features"] = behaviour.city_totals(enriched)
         if products is not None:
             tables["user_features"] = behaviour.user_features(enriched, products)
     if comments is not None:
-        tables["comment_features"] = behaviour.comment_features(comments)
+        tables["comment_features"] = shared(
+            behaviour.comment_features(comments), "comment_features"
+        )
     if products is not None:
         tables["product_master"] = behaviour.product_master(
             products, tables.get("product_behavior"), tables.get("comment_features")
@@ -75,7 +87,9 @@ def feature_job(spark: SparkSession, source: str, target: str) -> dict[str, Data
         name: read_parquet(spark, f"{source}/{d.parts_folder}", union_by_name=True)
         for name, d in DATASETS.items()
     }
-    tables = feature_tables(cleaned["products"], cleaned["user_behavior_logs"], cleaned["comments"])
+    tables = feature_tables(
+        cleaned["products"], cleaned["user_behavior_logs"], cleaned["comments"], stage_shared=True
+    )
     save_tables(tables, target)
     stored = {n: spark.read.parquet(f"{target}/{n}.parquet") for n in tables}
     behaviour.feature_table(stored).write.mode("overwrite").parquet(f"{target}/feature_table.parquet")
