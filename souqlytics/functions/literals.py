@@ -6,9 +6,9 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import AtomicType, StringType
 
 from souqlytics.functions.text import strip
 
@@ -49,6 +49,13 @@ def literal_to_json(c: Column) -> Column:
     )
 
 
-def value_to_json(c: Column, is_text: bool) -> Column:
-    """As above, but arrays, maps and structs are written directly."""
-    return literal_to_json(c) if is_text else F.to_json(c)
+def columns_to_json(df: DataFrame, columns: tuple[str, ...] = ("advantages", "disadvantages")) -> DataFrame:
+    """The columns as JSON text; arrays, maps and structs are written directly."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns(
+        {
+            c: literal_to_json(F.col(c)) if isinstance(kinds[c], AtomicType) else F.to_json(c)
+            for c in columns
+            if c in kinds
+        }
+    )

@@ -36,20 +36,17 @@ def with_ordinal(df: DataFrame, out: str = ORDINAL) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame | None:
     """Registered dataset by file stem, all columns as text; None means "skip".
 
-    ``multi_line`` keeps quoted line breaks intact but reads each file in one task;
+    Columns are those of the header line, whatever their order. ``multi_line`` keeps quoted line breaks intact but reads each file in one task;
     turn it off for files known to have none, so that large files are split.
     """
     stem, suffix = dataset_of(path)
-    dataset = find_dataset(stem)
-    if dataset is None or suffix != "csv":
+    if find_dataset(stem) is None or suffix != "csv":
         return None
     return (
-        spark.read.schema(dataset.schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .option("enforceSchema", False)
         .csv(path)
     )
 

@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def _new_files(
+    spark: SparkSession, source: str, schema: StructType, max_files: int | None
+) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(source)
+
+
 def run_new_files(
     spark: SparkSession, source: str, schema: StructType,
     transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
@@ -18,11 +27,8 @@ def run_new_files(
     The checkpoint remembers finished files; the file sink's commit log makes a
     batch's output visible all at once. ``transform`` has to be row-wise.
     """
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
     (
-        transform(reader.parquet(source))
+        transform(_new_files(spark, source, schema, max_files))
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -30,3 +36,26 @@ def run_new_files(
         .start(target)
         .awaitTermination()
     )
+
+
+def run_new_batches(
+    spark: SparkSession, source: str, schema: StructType,
+    transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
+    max_files: int | None = None,
+) -> None:
+    """The same for any batch transformation, such as aspect scoring with its grouping.
+
+    Each batch of files goes to its own ``batch=<n>`` folder, replaced as a whole when a
+    broken run is repeated, so a file's rows are there once or not at all.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    (
+        _new_files(spark, source, schema, max_files)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )

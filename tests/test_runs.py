@@ -10,7 +10,8 @@ from souqlytics.plans import jobs
 from souqlytics.registry import DATASETS, find_dataset
 from souqlytics.session import shared_dir
 from souqlytics.sources import files, tables
-from souqlytics.streaming.incremental import run_new_files
+from souqlytics.functions.literals import columns_to_json
+from souqlytics.streaming.incremental import run_new_batches, run_new_files
 
 PRODUCTS = """id,title_fa,Category1,Category2,sub_category,Brand,Seller,Price,min_price_last_month,Rate,Rate_cnt,Is_Fake
 10,"گوشی, ""خوب""
@@ -95,6 +96,29 @@ def test_resume_skips_finished_files(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [0, 2, 4, 20, 22]
 
 
+def test_batches_may_group(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    count = lambda df: df.groupBy("k").count()
+    rows = spark.range(6).select((F.col("id") % 2).alias("k")).coalesce(1)
+    for expect in ([(0, 3), (1, 3)], [(0, 3), (0, 3), (1, 3), (1, 3)]):
+        rows.write.mode("append").parquet(source)
+        for _ in range(2):
+            run_new_batches(spark, source, rows.schema, count, target, checkpoint)
+        got = spark.read.parquet(target).select("k", "count").collect()
+        assert sorted(tuple(r) for r in got) == expect
+
+
+def test_columns_to_json(spark):
+    df = spark.createDataFrame([("['a']", ["x", "y"])], "advantages string, disadvantages array<string>")
+    assert tuple(columns_to_json(df).first()) == ('["a"]', '["x","y"]')
+
+
+def test_csv_columns_in_any_order(spark, tmp_path):
+    (tmp_path / "products.csv").write_text("title_fa,id,more\nt,1,z\n", encoding="utf-8")
+    df = files.read_csv(spark, str(tmp_path / "products.csv"))
+    assert df.first().asDict() == {"title_fa": "t", "id": "1", "more": "z"}
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
