@@ -36,18 +36,23 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def infinity_counts(df: DataFrame) -> DataFrame:
-    """Q03: infinite values per numeric column."""
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
+def _infinities(df: DataFrame) -> dict[str, Column]:
+    numeric = [f for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    return {
+        f.name: F.count_if(
+            F.abs(F.col(f.name)) == float("inf")
+            if isinstance(f.dataType, (DoubleType, FloatType))
+            else F.lit(False)
+        )
+        for f in numeric
+    }
 
-    def infinite(c: str) -> Column:
-        hit = F.abs(F.col(c)) == float("inf") if c in floats else F.lit(False)
-        return F.count_if(hit).alias(c)
 
-    return _long(df.agg(*[infinite(c) for c in names]), names, "infinite_count").select(
-        "column_name", "infinite_count"
-    )
+def infinity_counts(df: DataFrame) -> DataFrame:
+    """Q03: infinite values per numeric column."""
+    counts = _infinities(df)
+    one_row = df.agg(*[count.alias(c) for c, count in counts.items()])
+    return _long(one_row, list(counts), "infinite_count").select("column_name", "infinite_count")
 
 
 # name -> (columns needed, condition of a bad row)
@@ -138,23 +143,36 @@ def table_report(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def scan(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rules over all tables: (table_name, check, column_name, count)."""
+    """All rules over all tables: (table_name, check, column_name, count).
+
+    Per table one pass for nulls, rules and infinities, and one for duplicates.
+    """
+    shape = ("table_name", "check", "column_name", "count")
     parts = []
     for name, df in tables.items():
-        def row(part: DataFrame, check: str, column: Column, count: Column) -> DataFrame:
-            return part.select(
-                F.lit(name).alias("table_name"), F.lit(check).alias("check"),
-                column.alias("column_name"), count.cast("long").alias("count"),
-            )
-
-        no_column = F.lit(None).cast("string")
-        parts += [
-            row(null_overview(df), "nulls", F.col("column_name"), F.col("null_count")),
-            row(duplicate_rows(df), "duplicates", no_column, F.col("duplicate_rows")),
-            row(rule_violations(df), "rule", F.col("rule"), F.col("violations")),
+        measures = [("nulls", c, F.count_if(F.col(c).isNull())) for c in df.columns]
+        measures += [
+            ("rule", rule, F.count_if(bad))
+            for rule, (needs, bad) in _rules().items()
+            if set(needs) <= set(df.columns)
         ]
-        if any(isinstance(f.dataType, NumericType) for f in df.schema.fields):
-            parts.append(
-                row(infinity_counts(df), "infinite", F.col("column_name"), F.col("infinite_count"))
+        measures += [("infinite", c, count) for c, count in _infinities(df).items()]
+        one_row = df.agg(*[count.alias(f"m{i}") for i, (_, _, count) in enumerate(measures)])
+        cells = F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("table_name"), F.lit(check).alias("check"),
+                    F.lit(column).alias("column_name"), F.col(f"m{i}").alias("count"),
+                )
+                for i, (check, column, _) in enumerate(measures)
+            ]
+        )
+        parts.append(one_row.select(F.inline(cells)))
+        parts.append(
+            duplicate_rows(df).select(
+                F.lit(name).alias("table_name"), F.lit("duplicates").alias("check"),
+                F.lit(None).cast("string").alias("column_name"),
+                F.col("duplicate_rows").alias("count"),
             )
-    return reduce(DataFrame.unionByName, parts)
+        )
+    return reduce(DataFrame.unionByName, parts).select(*shape)

@@ -11,13 +11,17 @@ _SEQ = "_seq"
 _PART = "_part"
 
 
-def _laid_out(df: DataFrame, order: list[Column]) -> DataFrame:
+def _laid_out(df: DataFrame, order: list[Column], unique: bool) -> DataFrame:
     """Range-sorted rows pinned to files, with partition number and position.
 
-    The last sort key spreads rows that are equal in all others over partitions,
-    so a group of copies does not end up in one task.
+    Rows that are equal in the sort keys would all land in one task. Unless the keys
+    are unique, a row number pinned beforehand is added as the last key: it spreads
+    copies, and it stays the same when a lost task is run again.
     """
-    ordered = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").drop("_tie")
+    if not unique:
+        df = pin(df.withColumn("_tie", F.monotonically_increasing_id()))
+        order = [*order, F.col("_tie")]
+    ordered = df.orderBy(*order).drop("_tie")
     # The generated id holds the partition number in its upper bits and the
     # position inside the partition in the lower 33.
     seq = F.monotonically_increasing_id()
@@ -39,9 +43,11 @@ def _offsets(laid: DataFrame, amount: Column) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, order: list[Column], out: str = "row_no") -> DataFrame:
-    """Numbers 1..n in the given order, gap-free."""
-    laid = _laid_out(df, order)
+def number_rows(
+    df: DataFrame, order: list[Column], out: str = "row_no", unique: bool = True
+) -> DataFrame:
+    """Numbers 1..n in the given order, gap-free; say so if the order has ties."""
+    laid = _laid_out(df, order, unique)
     # One row per sorted partition, so the broadcast is bounded by the partition count.
     offsets = F.broadcast(_offsets(laid, F.count(F.lit(1))))
     return (
@@ -52,8 +58,8 @@ def number_rows(df: DataFrame, order: list[Column], out: str = "row_no") -> Data
 
 
 def running_total(df: DataFrame, order: list[Column], amount: str, out: str) -> DataFrame:
-    """Inclusive running sum of ``amount`` in the given order."""
-    laid = _laid_out(df, order)
+    """Inclusive running sum of ``amount`` in the given order, which has no ties."""
+    laid = _laid_out(df, order, unique=True)
     offsets = F.broadcast(_offsets(laid, F.sum(amount)))
     upto = Window.partitionBy(_PART).orderBy(_SEQ).rowsBetween(Window.unboundedPreceding, 0)
     return (

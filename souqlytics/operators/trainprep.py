@@ -463,7 +463,7 @@ def split_rows(
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     smallest, total = sizes.agg(F.min("_n"), F.sum("_n")).first()
     if smallest is not None and smallest >= 2:
-        numbered = number_rows(hashed, [F.col(label), F.col("_h")], "_no")
+        numbered = number_rows(hashed, [F.col(label), F.col("_h")], "_no", unique=False)
         # One row per label.
         bounds = numbered.groupBy(F.col(label).alias("_l")).agg(
             F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_n")
@@ -471,7 +471,7 @@ def split_rows(
         placed = numbered.join(bounds, numbered[label].eqNullSafe(bounds["_l"]))
         in_test = F.col("_no") - F.col("_first") + 1 <= F.floor(F.col("_n") * share + 0.5)
     else:
-        placed = number_rows(hashed, [F.col("_h")], "_no")
+        placed = number_rows(hashed, [F.col("_h")], "_no", unique=False)
         in_test = F.col("_no") <= F.ceil(F.lit((total or 0) * share))
     split = F.when(in_test, "validation").otherwise("train")
     return placed.withColumn("split", split).select(*df.columns, "split")
@@ -489,7 +489,8 @@ def add_extra(
         allowed = int(out.count() * share)
         rows = synthetic.select(*COLUMNS)
         numbered = number_rows(
-            rows.withColumn("_h", F.xxhash64(*COLUMNS, F.lit(seed))), [F.col("_h")], "_no"
+            rows.withColumn("_h", F.xxhash64(*COLUMNS, F.lit(seed))), [F.col("_h")], "_no",
+            unique=False,
         )
         out = out.unionByName(numbered.filter(F.col("_no") <= allowed).select(*COLUMNS))
     return out
