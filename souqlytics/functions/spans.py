@@ -18,7 +18,7 @@ TAG_O, TAG_B, TAG_I, TAG_IGNORE = 0, 1, 2, -100
 SPAN = "struct<start:int,end:int>"
 SPANS = f"array<{SPAN}>"
 # A private-use character stands for "the term was here" while searching.
-MARK = ""
+MARK = "\ue000"
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -151,7 +151,7 @@ def word_offsets(text: Column) -> Column:
 
 def occurrences(text: Column, term: Column) -> Column:
     """Start positions of the non-overlapping occurrences of ``term``, left to right."""
-    pieces = F.split(F.replace(F.translate(text, MARK, " "), term, F.lit(MARK)), MARK)
+    pieces = F.split(F.replace(F.translate(text, MARK, "\ue001"), term, F.lit(MARK)), MARK)
     # Running length over the pieces in front of each hit; hits are few. What stays the
     # same rides in the start value, which is evaluated once and not once per step.
     start = F.struct(

@@ -345,7 +345,7 @@ def _(spark, d):
 
 @query("t13_aspect_term")
 def _(spark, d):
-    term = F.concat(F.lit("  "), F.translate("p_name", "aeiou", "‌"), F.lit("  x "))
+    term = F.concat(F.lit("  "), F.translate("p_name", "aeiou", text.ZWNJ), F.lit("  x "))
     return table(spark, d, "part").select("p_partkey", text.aspect_term(term).alias("term"))
 
 

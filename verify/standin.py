@@ -158,15 +158,16 @@ FROM {documents}
 """
 
 
-def _from(name: str) -> str:
-    return TABLES[name].replace("//", "DIV") if name == "raw_comment" else TABLES[name]
+def _for_spark(statement: str) -> str:
+    """Integer division is the one operator the two dialects write differently."""
+    return statement.replace("//", "DIV")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table on Spark."""
     if name in DRIVER_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    chain = ", ".join(f"{n} AS ({_from(n)})" for n in _needed(name))
+    chain = ", ".join(f"{n} AS ({_for_spark(TABLES[n])})" for n in _needed(name))
     used = [t for t in DRIVER_TABLES if "{" + t + "}" in chain]
     return spark.sql(
         f"WITH {chain} SELECT * FROM {name}",
