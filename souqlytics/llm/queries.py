@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souqlytics.llm import decontaminate, exact_dedup, mixing
+from souqlytics.llm import decontaminate, exact_dedup, mixing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op9_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and its offending sentences."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by verified chunk lists."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -36,5 +42,6 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_containment_search": op6_containment_search,
     "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_noisy_or": op9_noisy_or,
     "op10_chunk_recipes": op10_chunk_recipes,
 }

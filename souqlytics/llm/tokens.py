@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+# Small enough for arrays of 8 bytes per byte of text to stay in a core's cache.
+SLICE_BYTES = 1 << 18
+SLICE_ROWS = 4096
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,7 +34,7 @@ def _power(base: int, n: int) -> np.ndarray:
         out = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         out[0] = 1
         known = np.cumprod(out)
-        if n <= 8 * SLICE_BYTES:  # do not keep what one very long text needed
+        if n <= 32 * SLICE_BYTES:  # do not keep what one very long text needed
             _powers[base] = known
     return known[:n]
 
@@ -53,6 +55,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     start = 0
     while start < len(batch):
         stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+        stop = min(stop, start + SLICE_ROWS, len(batch))
         yield batch.slice(start, stop - start)
         start = stop
 
