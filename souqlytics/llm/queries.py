@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souqlytics.llm import decontaminate, exact_dedup, mixing, toxicity
+from souqlytics.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to their targets; rows in the order they are first trained on."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -41,7 +46,18 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_containment_search": op6_containment_search,
+    "op7_prob_min_hash": op7_prob_min_hash,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_noisy_or": op9_noisy_or,
     "op10_chunk_recipes": op10_chunk_recipes,
 }
+
+
+# DuckDB SQL over the same tables. Operators that estimate, learn or sketch have none and are
+# tested against brute force or on held-out rows (tests/llm).
+ORACLE: dict[str, str] = {
+    "op10_chunk_recipes": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+}
