@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souqlytics.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
+from souqlytics.llm import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that earlier documents have."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the word runs that stand earlier in the corpus."""
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -45,6 +55,8 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bucket_pointers": op1_bucket_pointers,
+    "op4_seed_extend": op4_seed_extend,
     "op6_containment_search": op6_containment_search,
     "op7_prob_min_hash": op7_prob_min_hash,
     "op8_curriculum_mix": op8_curriculum_mix,
