@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souqlytics.llm.tokens import buffers, mix, slices
+from souqlytics.llm.tokens import _BASE, _BASE_INV, _BYTE, _power, mix, slices
 
 BLOCK_BYTES = 3 << 20
 # Anchors per bucket in round 2 follow from blocks per bucket.
@@ -245,14 +245,12 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     ])
 
 
-def _hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, by prefix sums over pieces of the data."""
-    from souqlytics.llm.tokens import _BASE, _BASE_INV, _BYTE, _power
-
     out = np.zeros(len(start), np.uint64)
     if not len(start):
         return out
-    step = 1 << 19
+    step = 1 << 17
     order = np.argsort(start, kind="stable")
     s, e = start[order], stop[order]
     i = 0
@@ -300,7 +298,7 @@ def _surroundings(method: Method, buckets: int, answers: int):
         seed = a.seed[own] - shift
         doc = a.doc[own]
         start, stop = a.span(first, first + count - 1 + w)
-        kind = _hash_spans(a.data, start, stop) + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed.astype(np.uint64)
+        kind = hash_spans(a.data, start, stop) + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed.astype(np.uint64)
         order = np.lexsort((first, doc, kind))
         kind, doc, first, count, seed, start, stop, own, split = (x[order] for x in (kind, doc, first, count, seed, start, stop, own, split))
         head = np.ones(len(kind), bool)
