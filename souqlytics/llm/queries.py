@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souqlytics.llm import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity
+from souqlytics.llm import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,6 +62,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bucket_pointers": op1_bucket_pointers,
     "op4_seed_extend": op4_seed_extend,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_containment_search": op6_containment_search,
     "op7_prob_min_hash": op7_prob_min_hash,
     "op8_curriculum_mix": op8_curriculum_mix,
@@ -68,6 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # DuckDB SQL over the same tables. Operators that estimate, learn or sketch have none and are
 # tested against brute force or on held-out rows (tests/llm).
 ORACLE: dict[str, str] = {
+    "op5_warc_round_trip": """
+        SELECT page_id, url, payload_bytes, payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN last END AS refers_to
+        FROM (SELECT *, payload_bytes >= 1000 AND page_id <> last AS again
+              FROM (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+                    FROM pages))""",
     "op10_chunk_recipes": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
