@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souqlytics.llm import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
+from souqlytics.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat or nearly repeat an earlier line, by document."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the word runs that stand earlier in the corpus."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bucket_pointers": op1_bucket_pointers,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op4_seed_extend": op4_seed_extend,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_containment_search": op6_containment_search,
