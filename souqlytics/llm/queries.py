@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souqlytics.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
+from souqlytics.llm import decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the word runs that stand earlier in the corpus."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bucket_pointers": op1_bucket_pointers,
     "op2_fuzzy_lines": op2_fuzzy_lines,
+    "op3_minimum_cut": op3_minimum_cut,
     "op4_seed_extend": op4_seed_extend,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_containment_search": op6_containment_search,
