@@ -33,33 +33,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame:
+def link_buckets(
+    rows: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], stars: int = 2
+) -> DataFrame:
     """All links needed to know the groups: ``key, id`` -> ``a, b``.
 
-    In each bucket every member is first verified against one pivot. Members that are then
+    In each bucket every member is first verified against one pivot, the member that meets most
+    others over all buckets: of a text and its many edited copies that is the text. Members that are then
     in one group need no further comparison; where a bucket still has members of several
     groups, the pivot (whose pairs are all done) leaves it and the next star is drawn. After
-    ``stars`` stars the pairs that are left, of members in different groups and not yet
-    compared, are all verified. A bucket of n copies of one text so costs n comparisons, and
-    no link that would join two groups is passed over.
+    ``stars`` stars ``rest`` names all pairs (a, b) that may still be links among the members
+    of different groups that are left (id, label); those not yet compared are verified. A
+    bucket of n copies of one text so costs n comparisons, and no link that would join two
+    groups is passed over.
     """
     live = stage(_shared(rows.distinct()), "buckets")
     links = tested = None
     for _ in range(stars):
-        pivots = live.groupBy("key").agg(F.min("id").alias("a"))
-        pairs = live.join(pivots, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+        pivots = _pivots(live)
+        pairs = live.join(pivots, "key").filter("pivot <> id").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         links, tested = _compare(pairs, verify, links, tested)
-        live = live.join(pivots, "key").filter("a < id").select("key", "id")
+        live = live.join(pivots, "key").filter("pivot <> id").select("key", "id")
         live = stage(_mixed(live, links), "buckets")
         if live.isEmpty():
             return links
         live = live.select("key", "id")
-    marked = _mixed(live, links)
-    other = marked.select("key", F.col("id").alias("b"), F.col("label").alias("other"))
-    pairs = marked.withColumnRenamed("id", "a").join(other, "key").filter("a < b and label <> other").select("a", "b").distinct()
+    pairs = rest(stage(_mixed(live, links).select("id", "label").distinct(), "rest"))
     return _compare(pairs, verify, links, tested)[0]
 
 
+def _pivots(live: DataFrame) -> DataFrame:
+    """``key, pivot``: each bucket's member with the most company over all its buckets."""
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    company = live.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("met"))
+    return live.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("pivot"))
+
+
 def _compare(pairs: DataFrame, verify: Callable, links: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -82,6 +82,24 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
                 [part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "shingles"])
 
 
+def prefix_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """All pairs that can reach the threshold: ``id, label, shingles`` -> ``a, b`` of different labels.
+
+    Sets of n shingles that reach it share one of their n - ceil(threshold * n) + 1 rarest ones.
+    Copies with edits of their own hold shingles that nobody else has, so those come first and
+    pair them with nobody.
+    """
+    each = members.select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("met"))
+    first = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1)
+    prefix = stage(
+        each.join(rare, "s").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("met", "s"))).alias("by"))
+        .select("id", "label", F.explode(first).alias("p")).filter("p.met > 1").select("id", "label", F.col("p.s").alias("s")), "prefixes",
+    )
+    other = prefix.select("s", F.col("id").alias("b"), F.col("label").alias("other"))
+    return prefix.withColumnRenamed("id", "a").join(other, "s").filter("a < b and label <> other").select("a", "b").distinct()
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
     shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
@@ -93,8 +111,8 @@ def near_dedup(
     ``threshold``; a class is a connected group, named by its smallest id, which stays. Equal
     texts are one class from the start and are sketched as one; they are never paired. Pairs
     come from bands of the signature and are verified on the whole sets. A bucket's members
-    are compared by stars, then whatever is left between groups (see ``link_buckets``): no
-    cap. With 20 bands of 5 a pair at 0.8 is met with chance 0.9996.
+    are compared by stars, then what is left between groups by a prefix filter that loses
+    nothing: no cap. With 20 bands of 5 a pair at 0.8 is met with chance 0.9996.
 
     Null text counts as empty; texts without words are near only to equal texts. Rows that
     repeat an id and its text count one by one. Rows with a null id are left out: an id names
@@ -127,7 +145,7 @@ def near_dedup(
             .filter(F.col("common") >= F.lit(threshold - 1e-9) * (F.size("sa") + F.size("sb") - F.col("common")))
         )
 
-    labels = components(link_buckets(buckets, verify))
+    labels = components(link_buckets(buckets, verify, lambda members: prefix_pairs(members.join(sets, "id"), threshold)))
     classes = stage(
         texts.join(labels, "id", "left").select("sha", F.coalesce("label", "id").alias("class_id"), "n"), "classes")
     sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from souqlytics.llm.tokens import _BASE, _BASE_INV, _BYTE, _power, mix, slices
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 # Anchors per bucket in round 2 follow from blocks per bucket.
 BLOCKS_PER_BUCKET = 4
 HEAVY = 2_000
