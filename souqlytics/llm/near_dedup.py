@@ -87,17 +87,24 @@ def prefix_pairs(members: DataFrame, threshold: float) -> DataFrame:
 
     Sets of n shingles that reach it share one of their n - ceil(threshold * n) + 1 rarest ones.
     Copies with edits of their own hold shingles that nobody else has, so those come first and
-    pair them with nobody.
+    pair them with nobody. At the first shingle that two sets share, what is left of the
+    smaller remainder bounds all they can share.
     """
     each = members.select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rare = each.groupBy("s").agg(F.count(F.lit(1)).alias("met"))
     first = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1)
     prefix = stage(
         each.join(rare, "s").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("met", "s"))).alias("by"))
-        .select("id", "label", F.explode(first).alias("p")).filter("p.met > 1").select("id", "label", F.col("p.s").alias("s")), "prefixes",
+        .select("id", "label", "n", F.posexplode(first).alias("at", "p")).filter("p.met > 1")
+        .select("id", "label", F.col("p.s").alias("s"), "n", (F.col("n") - F.col("at")).alias("left")), "prefixes",
     )
-    other = prefix.select("s", F.col("id").alias("b"), F.col("label").alias("other"))
-    return prefix.withColumnRenamed("id", "a").join(other, "s").filter("a < b and label <> other").select("a", "b").distinct()
+    other = prefix.select(F.col("s").alias("s_b"), F.col("id").alias("b"), F.col("label").alias("other"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n_b")) - F.lit(1e-9)
+    met = (
+        (F.col("s") == F.col("s_b")) & (F.col("id") < F.col("b")) & (F.col("label") != F.col("other"))
+        & (F.least("left", "left_b") >= needed)
+    )
+    return prefix.join(other, met).select(F.col("id").alias("a"), "b").distinct()
 
 
 def near_dedup(
