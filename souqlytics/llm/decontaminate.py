@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souqlytics.llm.tokens import Words, buffers, grams, slices
+from souqlytics.llm.tokens import Words, buffers, grams, last_column, slices, with_text
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -165,9 +165,8 @@ def without_leaks(
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                keep[[r for r, _, _ in _matches(batch, held.value, threshold)]] = False
+                keep[[r for r, _, _ in _matches(last_column(batch), held.value, threshold)]] = False
                 yield batch.select(range(len(names))).filter(pa.array(keep))
 
-        texts = out.select(*names, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-        out = texts.mapInArrow(clean, docs.schema)
+        out = with_text(out, F.lower(F.coalesce(F.col(text_col), F.lit("")))).mapInArrow(clean, docs.schema)
     return out

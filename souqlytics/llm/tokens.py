@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 
 # Small enough for arrays of 8 bytes per byte of text to stay in a core's cache.
 SLICE_BYTES = 1 << 18
@@ -60,6 +61,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """All columns and a last one, under a name of its own, with the text that tasks read."""
+    name = "_text"
+    while name in docs.columns:
+        name += "_"
+    return docs.select(*[docs[c] for c in docs.columns], text.alias(name))
+
+
+def last_column(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], ["_text"])
+
+
 class Words:
     """The words of several texts: 64-bit hash, byte span, and the row each belongs to."""
 

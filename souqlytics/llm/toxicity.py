@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souqlytics.llm.tokens import SLICE_ROWS, _BASE, _BASE_INV, _BYTE, _power, buffers, slices
+from souqlytics.llm.tokens import SLICE_ROWS, _BASE, _BASE_INV, _BYTE, _power, buffers, last_column, slices, with_text
 from souqlytics.session import stage
 
 # Most labelled rows of each class that a model is fitted on, and most features it keeps.
@@ -279,10 +279,10 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", cut: fl
         for batch in batches:
             scores = np.zeros(len(batch))
             done = 0
-            for part in slices(batch, "_text"):
-                s = Sentences(part.column(len(names)))
+            for part in slices(last_column(batch), "_text"):
+                s = Sentences(part.column(0))
                 scores[done : done + len(part)] = noisy_or(held.value.sentence_scores(s), s.row, len(part))
                 done += len(part)
             yield batch.select(range(len(names))).filter(pa.array(scores < cut))
 
-    return docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, docs.schema)
+    return with_text(docs, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, docs.schema)

@@ -141,6 +141,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition is None:  # no file was written
+            return
         system, _ = _open(self.path)
         with system.open_input_file(partition.path) as stream:
             records = _Records(stream)
@@ -230,8 +232,8 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """The records to write for a table of pages, with the columns of SCHEMA.
 
     Of equal payloads of ``least`` bytes or more the one with the largest id is a response and
-    the others revisit it. Equal means equal SHA-256 and length; the payload itself does not
-    move: it is joined to by narrow rows only where a page revisits another.
+    the others revisit it. Equal means equal SHA-256 and length. Groups are found on narrow
+    rows; only the ids of pages that revisit another are joined to the payloads.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("key"), F.octet_length(payload).cast("long").alias("size"))
