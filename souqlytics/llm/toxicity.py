@@ -14,8 +14,8 @@ from souqlytics.llm.tokens import SLICE_ROWS, _BASE, _BASE_INV, _BYTE, _power, b
 from souqlytics.session import stage
 
 # Most labelled rows of each class that a model is fitted on, and most features it keeps.
-SAMPLE = {1: 3_000, 0: 6_000}
-FEATURES = 20_000
+SAMPLE = {1: 2_500, 0: 5_000}
+FEATURES = 5_000
 GRAMS = (4, 5, 6)
 CUT = 0.7
 ROW_BITS = (SLICE_ROWS - 1).bit_length()
@@ -183,24 +183,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 pairs = held.value.hits(s)
                 count = np.bincount(s.row, minlength=len(part))
                 cut = np.searchsorted(s.row[pairs[:, 0]], np.arange(len(part) + 1)) if len(pairs) else np.zeros(len(part) + 1, int)
-                lists = pa.ListArray.from_arrays
+                packed = [np.ascontiguousarray(pairs[a:b].T, np.int32).tobytes() for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([
                     part.column(1), pa.array(count.astype(np.int64)), part.column(0).cast(pa.string()),
-                    lists(pa.array(cut, pa.int32()), pa.array(pairs[:, 0], pa.int32())),
-                    lists(pa.array(cut, pa.int32()), pa.array(pairs[:, 1], pa.int32())),
-                ], ["y", "sentences", "id", "s", "f"])
+                    pa.array(packed, pa.binary()),
+                ], ["y", "sentences", "id", "pairs"])
 
-    rows = sample.mapInArrow(bags, "y int, sentences long, id string, s array<int>, f array<int>").toPandas()
+    rows = sample.mapInArrow(bags, "y int, sentences long, id string, pairs binary").toPandas()
     return _train(rows.sort_values(["id", "y"], kind="stable"), hashes, n1, n0)
 
 
 def _train(rows: pd.DataFrame, hashes: np.ndarray, n1: int, n0: int, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:
     """Maximum likelihood by Adam. Sentences without any feature share one score."""
     n, y = len(rows), rows["y"].to_numpy(float)
-    pair_doc = np.repeat(np.arange(n), [len(v) for v in rows["s"]])
-    pair_f = np.concatenate([np.asarray(v, np.int64) for v in rows["f"]]) if n else np.zeros(0, np.int64)
-    pair_s = np.concatenate([np.asarray(v, np.int64) for v in rows["s"]]) if n else np.zeros(0, np.int64)
-    _, first, inst = np.unique(pair_doc * (1 << 40) + pair_s, return_index=True, return_inverse=True)
+    # (sentence, feature) pairs of each document, in order of the sentence
+    bags = [np.frombuffer(v, np.int32).reshape(2, -1) for v in rows["pairs"]]
+    pair_doc = np.repeat(np.arange(n, dtype=np.int32), [b.shape[1] for b in bags])
+    pair_s, pair_f = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
+    new = np.ones(len(pair_f), bool)
+    new[1:] = (pair_doc[1:] != pair_doc[:-1]) | (pair_s[1:] != pair_s[:-1])
+    first = np.flatnonzero(new)
+    inst = (np.cumsum(new) - 1).astype(np.int32)
     inst_doc = pair_doc[first]
     plain = rows["sentences"].to_numpy(float) - np.bincount(inst_doc, minlength=n)
     w, b = np.zeros(len(hashes)), -6.0
