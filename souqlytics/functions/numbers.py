@@ -34,6 +34,12 @@ def parse_id(c: Column) -> Column:
     )
 
 
+def parse_whole(c: Column) -> Column:
+    """A whole number from text or a fraction, halves to the even neighbour; large ones stay exact."""
+    text = strip(c.cast("string"))
+    return F.coalesce(text.try_cast("bigint"), F.bround(text.try_cast("double"), 0).try_cast("bigint"))
+
+
 def parse_bool(c: Column) -> Column:
     """B08."""
     word = strip(F.lower(c.cast("string")))

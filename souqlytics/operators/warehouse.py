@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souqlytics.functions.numbers import parse_bool, parse_id
+from souqlytics.functions.numbers import parse_bool, parse_id, parse_whole
 from souqlytics.functions.vectors import is_valid
 from souqlytics.operators.ranking import number_rows
 
@@ -148,11 +148,11 @@ def load_products(
         _trimmed("Category2").alias("c2"),
         F.nullif(_trimmed("sub_category"), F.lit("")).alias("sub"),
         _trimmed("Seller").alias("seller"),
-        F.col("Price").try_cast("bigint").alias("price"),
-        F.col("min_price_last_month").try_cast("bigint").alias("min_price_last_month"),
+        parse_whole(F.col("Price")).alias("price"),
+        parse_whole(F.col("min_price_last_month")).alias("min_price_last_month"),
         F.coalesce(parse_bool(F.col("Is_Fake")), F.lit(False)).alias("is_fake"),
         F.col("Rate").try_cast("double").alias("rate"),
-        F.col("Rate_cnt").try_cast("bigint").alias("rate_cnt"),
+        parse_whole(F.col("Rate_cnt")).alias("rate_cnt"),
     ).filter(F.col("id").isNotNull())
     new = (
         src.join(brands, src["brand"] == brands["name"], "left")
@@ -212,8 +212,8 @@ def load_comments(
             parse_bool(F.col("is_buyer")).alias("is_buyer"),
             F.col("rate").try_cast("double").alias("rate"),
             F.col("recommendation_status").cast("string").alias("recommendation_status"),
-            F.coalesce(F.col("likes").try_cast("int"), F.lit(0)).alias("likes"),
-            F.coalesce(F.col("dislikes").try_cast("int"), F.lit(0)).alias("dislikes"),
+            F.coalesce(parse_whole(F.col("likes")).try_cast("int"), F.lit(0)).alias("likes"),
+            F.coalesce(parse_whole(F.col("dislikes")).try_cast("int"), F.lit(0)).alias("dislikes"),
             F.col("raw_text_normalized").cast("string").alias("raw_text_normalized"),
             F.col("created_at").try_cast("timestamp").alias("created_at"),
         )

@@ -12,7 +12,7 @@ from souqlytics.operators.aspects import Scorer, score_comments
 from souqlytics.operators.cleaning import clean, cleaning_report
 from souqlytics.registry import DATASETS
 from souqlytics.session import stage
-from souqlytics.sources.files import ORDINAL, read_csv, read_parquet, with_ordinal, write_parts
+from souqlytics.sources.files import ORDINAL, PART_ROWS, read_csv, read_parquet, with_ordinal, write_parts
 from souqlytics.sources.tables import publish, save_kpis, save_tables
 
 
@@ -26,18 +26,23 @@ def clean_table(raw: DataFrame, dataset: str, ordinal: str | None = ORDINAL) ->
     )
 
 
-def clean_job(spark: SparkSession, source: str, target: str) -> dict[str, DataFrame]:
-    """Clean every registered CSV under ``source``; returns one report per dataset."""
+def clean_job(
+    spark: SparkSession, source: str, target: str, multi_line: bool = True, rows_per_file: int = PART_ROWS
+) -> dict[str, DataFrame]:
+    """Clean every registered CSV under ``source``; returns one report per dataset.
+
+    Files without quoted line breaks are split over tasks when ``multi_line`` is off.
+    """
     reports = {}
     for name, dataset in DATASETS.items():
         try:
-            raw = read_csv(spark, f"{source}/{name}.csv")
+            raw = read_csv(spark, f"{source}/{name}.csv", multi_line=multi_line)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
         path = f"{target}/{dataset.parts_folder}"
-        write_parts(clean_table(with_ordinal(raw), name), path)
+        write_parts(clean_table(with_ordinal(raw), name), path, rows_per_file)
         cleaned = read_parquet(spark, path).drop("raw_text", "raw_text_normalized")
         reports[name] = cleaning_report(raw, cleaned)
     return reports

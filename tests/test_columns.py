@@ -191,3 +191,12 @@ def test_vectors(spark):
     rows = df.select(vectors.unit(F.col("a")).alias("u"), vectors.cosine(F.col("a"), F.col("b")).alias("c")).collect()
     assert rows[0].u == [0.6, 0.8] and math.isclose(rows[0].c, 0.96)
     assert rows[1].u == [0.0, 0.0] and rows[1].c == 0.0
+
+
+def test_parse_whole_rounds_half_to_even(spark):
+    from souqlytics.functions.numbers import parse_whole
+
+    df = spark.createDataFrame([("2.5",), ("3.5",), ("1234.7",), ("9007199254740993",), ("x",), (None,), ("-0.5",)], "v string")
+    assert [r[0] for r in df.select(parse_whole(F.col("v"))).collect()] == [2, 4, 1235, 9007199254740993, None, None, 0]
+    halves = spark.createDataFrame([(2.7,), (1e7,), (2.5,)], "v double")
+    assert [r[0] for r in halves.select(parse_whole(F.col("v"))).collect()] == [3, 10_000_000, 2]

@@ -415,7 +415,7 @@ from_log(
       count(*) FILTER (WHERE event_type = 'remove_from_cart') AS r FROM shop_log)""",
 )
 from_log("k08_heavy_users", "SELECT user_id, is_purchase FROM users WHERE is_purchase > 10", F_USERS)
-from_log("k09_low_engagement_users", "SELECT user_id, is_view FROM users WHERE is_view < 10", F_USERS)
+from_log("k09_low_engagement_users", "SELECT user_id, is_view FROM users WHERE is_view < 5", F_USERS)
 top("k10_high_conversion_users", "user_id, conversion_rate", "conversion_rate", "users", "user_id")
 from_log("k11_high_remove_users", "SELECT user_id, remove_rate FROM users WHERE remove_rate > 0.5", F_USERS)
 from_log(

@@ -500,7 +500,7 @@ def _(spark, d):
 
 @query("k09_low_engagement_users")
 def _(spark, d):
-    return kpi.low_engagement_users(users(spark, d), below=10).select("user_id", "is_view")
+    return kpi.low_engagement_users(users(spark, d)).select("user_id", "is_view")
 
 
 @query("k10_high_conversion_users")
