@@ -14,8 +14,8 @@ from souqlytics.llm.tokens import SLICE_ROWS, _BASE, _BASE_INV, _BYTE, _power, b
 from souqlytics.session import stage
 
 # Most labelled rows of each class that a model is fitted on, and most features it keeps.
-SAMPLE = {1: 2_500, 0: 5_000}
-FEATURES = 5_000
+SAMPLE = {1: 2_000, 0: 3_000}
+FEATURES = 2_000
 GRAMS = (4, 5, 6)
 CUT = 0.7
 ROW_BITS = (SLICE_ROWS - 1).bit_length()
@@ -205,6 +205,7 @@ def _train(rows: pd.DataFrame, hashes: np.ndarray, n1: int, n0: int, steps: int
     first = np.flatnonzero(new)
     inst = (np.cumsum(new) - 1).astype(np.int32)
     inst_doc = pair_doc[first]
+    del bags, pair_doc, pair_s, new
     plain = rows["sentences"].to_numpy(float) - np.bincount(inst_doc, minlength=n)
     w, b = np.zeros(len(hashes)), -6.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
