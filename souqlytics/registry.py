@@ -13,16 +13,10 @@ class Dataset:
     columns: tuple[str, ...]
     primary_key: str | None = None
     foreign_keys: tuple[str, ...] = ()
-    join_columns: tuple[str, ...] = ()
     numeric: tuple[str, ...] = ()
     datetimes: tuple[str, ...] = ()
     booleans: tuple[str, ...] = ()
-    text: tuple[str, ...] = ()
     preprocess: tuple[str, ...] = ()
-    embedding: tuple[str, ...] = ()
-    retrieval: tuple[str, ...] = ()
-    sentiment: tuple[str, ...] = ()
-    categorical: tuple[str, ...] = ()
     schema: StructType = field(init=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -38,6 +32,7 @@ class Dataset:
         return f"{self.name}_parts"
 
 
+# Columns, keys and typed columns of the raw files (fixed values).
 COMMENTS = Dataset(
     name="comments",
     columns=(
@@ -47,25 +42,17 @@ COMMENTS = Dataset(
     ),
     primary_key="id",
     foreign_keys=("product_id",),
-    join_columns=("product_id",),
     numeric=("rate", "likes", "dislikes"),
     datetimes=("created_at",),
     booleans=("is_buyer",),
-    text=("title", "body", "advantages", "disadvantages"),
     preprocess=("title", "body", "advantages", "disadvantages"),
-    embedding=("title", "body", "advantages", "disadvantages"),
-    retrieval=("body", "advantages", "disadvantages"),
-    sentiment=("body", "advantages", "disadvantages"),
-    categorical=("recommendation_status", "seller_title", "seller_code", "true_to_size_rate"),
 )
 
 USER_BEHAVIOR = Dataset(
     name="user_behavior_logs",
     columns=("user_id", "product_id", "session_id", "event_type", "timestamp", "city"),
     foreign_keys=("user_id", "product_id"),
-    join_columns=("user_id", "product_id"),
     datetimes=("timestamp",),
-    categorical=("event_type", "city", "session_id"),
 )
 
 PRODUCTS = Dataset(
@@ -75,14 +62,9 @@ PRODUCTS = Dataset(
         "min_price_last_month", "Rate", "Rate_cnt", "Is_Fake",
     ),
     primary_key="id",
-    join_columns=("id",),
     numeric=("Rate", "Rate_cnt", "Price", "min_price_last_month"),
     booleans=("Is_Fake",),
-    text=("title_fa",),
     preprocess=("title_fa",),
-    embedding=("title_fa", "Category1", "Category2", "sub_category", "Brand"),
-    retrieval=("title_fa", "Category1", "Category2", "sub_category"),
-    categorical=("Category1", "Category2", "Brand", "Seller", "sub_category"),
 )
 
 DATASETS = {d.name: d for d in (COMMENTS, USER_BEHAVIOR, PRODUCTS)}
