@@ -174,6 +174,8 @@ class Anchors:
     starts: np.ndarray | None
     ends: np.ndarray | None
     data: np.ndarray
+    #: hash of every unit, where equal units may have unequal bytes around them (None: bytes tell)
+    units: np.ndarray | None = None
 
     def span(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (first, last) if self.starts is None else (self.starts[first], self.ends[last - 1])
@@ -266,6 +268,15 @@ def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return mix(out + (stop - start).astype(np.uint64))
 
 
+def window_hash(units: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
+    """Hash of the ``w`` units from each of the places."""
+    out = units[first].copy()
+    for i in range(1, w):
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += units[first + i]
+    return mix(out)
+
+
 def _surroundings(method: Method, buckets: int, answers: int):
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
@@ -298,7 +309,11 @@ def _surroundings(method: Method, buckets: int, answers: int):
         seed = a.seed[own] - shift
         doc = a.doc[own]
         start, stop = a.span(first, first + count - 1 + w)
-        kind = hash_spans(a.data, start, stop) + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed.astype(np.uint64)
+        kind = hash_spans(a.data, start, stop)
+        if a.units is not None and split.any():
+            # windows that are sent on their own fold and travel by what is compared, not by white space
+            kind[split] = window_hash(a.units, first[split], w)
+        kind += count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed.astype(np.uint64)
         order = np.lexsort((first, doc, kind))
         kind, doc, first, count, seed, start, stop, own, split = (x[order] for x in (kind, doc, first, count, seed, start, stop, own, split))
         head = np.ones(len(kind), bool)

@@ -33,7 +33,7 @@ class Runs(Method):
         self.window, self.gram = window, min(SEED, window - 1)
 
     def sampled(self, texts: Texts) -> Anchors:
-        out, starts, ends, done = [], [], [], 0
+        out, starts, ends, units, done = [], [], [], [], 0
         data, _ = buffers(texts.column)
         for doc, part in texts.slices():
             words = Words(*buffers(part))
@@ -44,10 +44,12 @@ class Runs(Method):
             out.append((h[place], first + done, place - first, last - first + 1, rows[first] + doc))
             starts.append(words.start + texts.at[doc])
             ends.append(words.end + texts.at[doc])
+            units.append(words.hash)
             done += len(words.start)
         h, first, seed, n, doc = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
         starts, ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
-        return Anchors(h, first, seed, n, doc, starts[first], starts, ends, data)
+        units = np.concatenate(units) if units else np.zeros(0, np.uint64)
+        return Anchors(h, first, seed, n, doc, starts[first], starts, ends, data, units)
 
     def earlier(self, items: Items) -> np.ndarray:
         """Extend all seeds word by word to the left and to the right at once.

@@ -79,6 +79,19 @@ def test_substring_dedup(docs, none, monkeypatch):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_heavy_in_many_forms(spark, monkeypatch):
+    """A frequent passage whose white space differs, over many blocks and buckets."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(repeats, "HEAVY", 10)
+    passage = [f"p{k}" for k in range(40)]
+    forms = [" ".join(passage), "  ".join(passage), "\t".join(passage), "\n".join(" ".join(passage[k : k + 7]) for k in range(0, 40, 7))]
+    rows = [(i, f"own{i} {forms[i % 4]} end{i}", "a") for i in range(60)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {i: (42, 40, sha(f"own{i} end{i}")) for i in range(1, 60)} | {0: (42, 0, sha(" ".join(words(rows[0][1]))))}
+    assert got == want
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_exact_dedup(docs, none, collide):
     from pyspark.sql import functions as F
