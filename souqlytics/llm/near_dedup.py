@@ -1,4 +1,4 @@
-"""Near duplicates by ProbMinHash over weighted word shingles."""
+"""Near duplicates by ProbMinHash over sets of word shingles."""
 
 from __future__ import annotations
 
@@ -20,7 +20,11 @@ ROW_BITS = (SLICE_ROWS - 1).bit_length()
 
 
 def weighted(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and weight of each distinct shingle; the weight grows with the log of its count."""
+    """Row, hash and weight of each distinct shingle.
+
+    Links are verified on plain sets, so all weights are equal: the probability Jaccard that
+    proposes a pair is then the Jaccard that decides it, however often a shingle repeats.
+    """
     words = Words(*buffers(column))
     h, row = shingles(words, k)
     # rows of a slice fit in the lower bits: one plain sort groups by row, then by hash
@@ -29,9 +33,7 @@ def weighted(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     row, h = (key >> low).astype(np.int64), mix(key & ((np.uint64(1) << low) - np.uint64(1)))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(h)))
-    return row[start], h[start], 1.0 + np.log2(count) if len(count) else np.zeros(0)
+    return row[new], h[new], np.ones(int(new.sum()))
 
 
 def prob_min_hash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def near_dedup(
     texts are one class from the start and are sketched as one; they are never paired. Pairs
     come from bands of the signature and are verified on the whole sets. A bucket's members
     are compared by stars, then what is left between groups by a prefix filter that loses
-    nothing: no cap. With 20 bands of 5 a pair at 0.8 is met with chance 0.9996.
+    nothing: no cap. With 20 bands of 5 a pair at 0.8 is met with chance 0.9996, whatever repeats.
 
     Null text counts as empty; texts without words are near only to equal texts. Rows that
     repeat an id and its text count one by one. Rows with a null id are left out: an id names

@@ -153,6 +153,16 @@ def test_near_dedup(spark, docs, none):
     assert {r.doc_id: r.class_id for r in got.collect()} == near_classes(many)
 
 
+def test_near_copies_with_repeats(spark):
+    """Copies with an added passage that is repeated many times: the sets are alike, the counts are not."""
+    rows = []
+    for c in range(20):
+        text = " ".join(f"c{c}b{k}" for k in range(200))
+        rows += [(2 * c, text), (2 * c + 1, text + " " + " ".join([" ".join(f"c{c}r{k}" for k in range(30))] * 300))]
+    got = near_dedup.near_dedup(frame(spark, [(i, t, "a") for i, t in rows]))
+    assert {r.doc_id: r.class_id for r in got.collect()} == near_classes(rows) == {i: i - i % 2 for i, _ in rows}
+
+
 def test_line_dedup(spark, docs, none):
     got = {r.doc_id: r.removed for r in line_dedup.line_dedup(docs).collect()}
     assert got[1] == [] and got[2] == [0] and got[3] == [] and got[6] == [0]  # case is folded
