@@ -48,34 +48,104 @@ class Block:
     heading: bool
 
 
-def _hint(tag: str, attributes: str, inside: bool) -> float:
-    """What one element says; ``inside``: an article or main is around it."""
-    value = ELEMENT.get(tag, 0.0)
-    if tag == "header" and inside:
-        value = -1.0
-    if attributes:
-        for m in _NAMES.finditer(attributes):
-            parts = {p.lower() for p in _PART.findall(m[2] or m[3] or m[4] or "")}
-            if parts & AGAINST:
-                value = min(value, -9.0)
-            elif parts & IN_FAVOUR:
-                value = max(value, 2.0)
-    return value
+# Their names speak of the whole page, not of what the element is.
+ROOTS = frozenset(("html", "body", "main"))
+
+
+@dataclass
+class Element:
+    tag: str
+    parent: int  # number of the block element around it, 0 for none
+    names: frozenset[str]  # parts of its class, id and role
+    inside: bool  # an article or main is around it
+    by_tag: bool = False  # the tag speaks against the text inside
+    by_name: bool = False  # a name does
+    under: bool = False  # it or an element around it speaks against the text
+
+
+def _element(tag: str, attributes: str, parent: int, elements: list[Element]) -> Element:
+    around = elements[parent - 1] if parent else None
+    inside = around is not None and (around.inside or around.tag in ("article", "main"))
+    names = frozenset(p.lower() for m in _NAMES.finditer(attributes) for p in _PART.findall(m[2] or m[3] or m[4] or ""))
+    under = around is not None and around.under and tag != "main"
+    e = Element(tag, parent, names, inside)
+    e.by_tag = ELEMENT.get(tag, 0.0) < 0 and not (tag == "header" and inside)
+    against = names & AGAINST
+    if inside or names & IN_FAVOUR:
+        against -= {"header"}  # the head of an article, not of the site
+    # an article's names tell of its layout, unless it stands among boilerplate
+    e.by_name = bool(against) and tag not in ROOTS and (tag != "article" or under)
+    e.under = under or e.by_tag or e.by_name
+    return e
+
+
+def _leader(blocks: list[Block], elements: list[Element]) -> int:
+    """Number of the element that would be lost with more text than the page has left, or 0.
+
+    Unlinked text counts for the nearest article or element that speaks against it. What holds
+    more than all text that nothing speaks against is the page's content, whatever it is named.
+    """
+    free, held = 0, {}
+    for b in blocks:
+        size = len(b.text) - b.linked
+        if not b.path or not elements[b.path[-1] - 1].under:
+            free += size
+            continue
+        for n in reversed(b.path):
+            e = elements[n - 1]
+            if e.by_name or e.tag == "article":
+                held[n] = held.get(n, 0) + size
+            if e.by_name or e.by_tag:
+                break
+    # of equals the outermost
+    n = max(held, key=lambda n: (held[n], -n), default=0)
+    return n if n and held[n] > free else 0
+
+
+def _own_hint(e: Element, heading: bool) -> float:
+    value = ELEMENT.get(e.tag, 0.0)
+    if e.tag == "header" and e.inside:
+        value = 0.0 if heading else -1.0
+    if e.by_name:
+        return min(value, -9.0)
+    return max(value, 2.0) if e.names & IN_FAVOUR and not e.names & AGAINST and value >= 0 else value
+
+
+def _give_hints(blocks: list[Block], elements: list[Element]) -> None:
+    """The hint of every block from the elements around it."""
+    leader = n = _leader(blocks, elements)
+    while n:  # wrappers of most of the text
+        elements[n - 1].by_name = False
+        n = elements[n - 1].parent
+    for b in blocks:
+        path = [elements[n - 1] for n in b.path]
+        # the leader or a main lifts what is said around it
+        start = max((i for i, n in enumerate(b.path) if n == leader or path[i].tag == "main"), default=0)
+        hint = 0.0
+        for e in path[start:]:
+            own = _own_hint(e, b.heading)
+            hint = min(hint, own) if own < 0 or hint <= -9.0 else max(hint, own) if hint >= 0 else hint + own
+        if hint <= -9.0 and not any(e.by_tag for e in path[start:]):
+            # a name alone is outweighed by long text without links
+            words = (b.text.count(" ") + 1) * (1 - b.linked / len(b.text))
+            hint += min(max(words - 40, 0) / 20, 9.0)
+        b.hint = hint
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space folded and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # tag, number, hint so far, inside an article
+    stack: list[tuple[str, int]] = []  # tag, number
+    elements: list[Element] = []
     parts: list[tuple[str, bool]] = []
-    number, link, at = 0, False, 0
+    link, at = False, 0
 
     def flush() -> None:
         nonlocal link
         text = _BLANK.sub(" ", entities.unescape("".join(p for p, _ in parts))).strip()
         if text:
             linked = sum(len(p) for p, of_link in parts if of_link)
-            out.append(Block(text, tuple(n for _, n, _, _ in stack), stack[-1][2] if stack else 0.0,
+            out.append(Block(text, tuple(n for _, n in stack), 0.0,
                              min(linked, len(text)), any(t[0] == "h" and t[1:].isdigit() for t, *_ in stack)))
         parts.clear()
         link = False
@@ -119,12 +189,10 @@ def blocks_of(page: str) -> list[Block]:
                 pop(len(stack) - 1)
             if tag in VOID:
                 continue
-            hint, inside = (stack[-1][2], stack[-1][3]) if stack else (0.0, False)
-            own = _hint(tag, m[3], inside)
-            number += 1
-            hint = min(hint, own) if own < 0 or hint <= -9.0 else max(hint, own) if hint >= 0 else hint + own
-            stack.append((tag, number, hint, inside or tag in ("article", "main")))
+            elements.append(_element(tag, m[3] or "", stack[-1][1] if stack else 0, elements))
+            stack.append((tag, len(elements)))
     flush()
+    _give_hints(out, elements)
     return out
 
 

@@ -298,6 +298,33 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("open_, close", [
+    ('<html><body class="has-sidebar"><div>', "</div>"), ('<html class="nav-closed"><body><div>', "</div>"), ('<body><div class="page-with-sidebar">', "</div>"),
+    ('<body><article class="post comments-open">', "</article>"), ('<body><div class="page-with-sidebar"><article class="post comments-open">', "</article></div>"),
+    ('<body><form><article>', "</article></form>"), ('<body><div class="nav-layout"><main>', "</main></div>"),
+])
+def test_html_text_of_named_layouts(open_, close):
+    """A name around the whole article is not a verdict on it; names inside still are."""
+    paragraphs = [" ".join(f"p{n}w{k}" for k in range(30)) for n in range(4)]
+    comments = "".join(f'<article class="comment-body"><p>Thanks for comment {n}, I like it a lot.</p></article>' for n in range(5))
+    page = (
+        f'{open_}<div class="site-header"><a href=x>Home</a></div><header class="entry-header"><h1>The head line of it</h1></header>'
+        + "".join(f"<p>{p}</p>" for p in paragraphs)
+        + f'<div class="sidebar"><p>More things to read</p></div><div class="comments-area">{comments}</div>{close}<div class="footer">All rights reserved</div>'
+    )
+    got = html_text.main_text(page).split("\n")
+    assert [g for g in got if g != "The head line of it"] == paragraphs
+    if "<article" in open_ or "<main" in open_:
+        assert got[0] == "The head line of it"
+
+
+def test_long_text_outweighs_a_name():
+    article = "".join(f"<p>{' '.join(f'a{n}w{k}' for k in range(60))}</p>" for n in range(5))
+    long = " ".join(f"w{k}" for k in range(250))
+    got = html_text.main_text(f'<body><div>{article}</div><div class="notice"><p>{long}</p></div><div class="notice"><p>We use cookies.</p></div></body>')
+    assert long in got and "cookies" not in got
+
+
 def test_minimum_cut_is_least():
     """Against all labellings of small pages."""
     import random
