@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,43 @@ def run_new_files(
     )
 
 
+class _Folder:
+    """Names and small files of a folder in whatever store Spark reaches."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark._jvm
+        self.root = root.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def qualified(self) -> str:
+        return self.fs.makeQualified(self._path("")).toString()
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, name: str) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self._path(name))] if self.exists(name) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def rename(self, old: str, new: str) -> None:
+        if not self.fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{self.root}/{old} could not be renamed to {new}")
+
+
 def run_new_batches(
     spark: SparkSession, source: str, schema: StructType,
     transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
@@ -45,11 +84,29 @@ def run_new_batches(
 ) -> None:
     """The same for any batch transformation, such as aspect scoring with its grouping.
 
-    Each batch of files goes to its own ``batch=<n>`` folder, replaced as a whole when a
-    broken run is repeated, so a file's rows are there once or not at all.
+    Each batch of files goes to its own ``batch=<query>-<n>`` folder, where the query is named by
+    its checkpoint: several sources may share a target. A batch is written aside and renamed,
+    and one that is there is not written again when a broken run is repeated, so a file's rows
+    are there once or not at all. The target remembers which query filled it from which source;
+    a source that is there under another checkpoint (the first was lost) is refused.
     """
+    folder, known = _Folder(spark, target), _Folder(spark, checkpoint)
+    origin = _Folder(spark, source).qualified()
+    mine = json.loads(known.read("metadata"))["id"] if known.exists("metadata") else None
+    for other in folder.names("_sources"):
+        if not other.startswith(".") and other != mine and folder.read(f"_sources/{other}") == origin:
+            raise ValueError(f"{target} has rows of {source} under another checkpoint")
+
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        query = json.loads(known.read("metadata"))["id"]
+        if not folder.exists(f"_sources/{query}"):
+            folder.write(f"_sources/{query}", origin)
+        name = f"batch={query}-{number}"
+        if folder.exists(name):
+            return
+        aside = f"_aside/{uuid.uuid4().hex}"
+        transform(batch).write.parquet(f"{folder.root}/{aside}")
+        folder.rename(aside, name)
 
     (
         _new_files(spark, source, schema, max_files)

@@ -108,6 +108,32 @@ def test_batches_may_group(spark, tmp_path):
         assert sorted(tuple(r) for r in got) == expect
 
 
+def test_batches_of_two_sources_and_broken_runs(spark, tmp_path):
+    target = str(tmp_path / "out")
+    calls = []
+
+    def shaky(df):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("stopped")
+        return df.groupBy("k").count()
+
+    for name, n in (("a", 4), ("b", 6)):
+        spark.range(n).select(F.concat(F.lit(name), F.col("id") % 2).alias("k")).coalesce(1).write.parquet(str(tmp_path / name))
+    for name in "aba":
+        run = lambda name=name, check=None: run_new_batches(
+            spark, str(tmp_path / name), spark.read.parquet(str(tmp_path / name)).schema, shaky, target, str(tmp_path / (check or f"check_{name}")))
+        if not calls:
+            with pytest.raises(Exception, match="stopped"):
+                run()
+        run()
+    want = [("a0", 2), ("a1", 2), ("b0", 3), ("b1", 3)]
+    assert sorted((r["k"], r["count"]) for r in spark.read.parquet(target).collect()) == want
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run(check="lost")
+    assert sorted((r["k"], r["count"]) for r in spark.read.parquet(target).collect()) == want
+
+
 def test_columns_to_json(spark):
     df = spark.createDataFrame([("['a']", ["x", "y"])], "advantages string, disadvantages array<string>")
     assert tuple(columns_to_json(df).first()) == ('["a"]', '["x","y"]')

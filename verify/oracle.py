@@ -81,6 +81,7 @@ add(
 )
 add("s10_json_lines_write", "SELECT doc_id, lang, text FROM documents")
 add("s14_incremental_run", "SELECT event_id, user_id, upper(event_type) AS event_type FROM events")
+add("s14_incremental_batches", "SELECT event_id % 2 AS odd, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 # ---- cleaning -----------------------------------------------------------------------
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from souqlytics.operators import (
 from souqlytics.plans import jobs
 from souqlytics.session import scratch_path, stage, tune
 from souqlytics.sources import files, tables
-from souqlytics.streaming.incremental import run_new_files
+from souqlytics.streaming.incremental import run_new_batches, run_new_files
 from verify.standin import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +227,27 @@ def _(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+@query("s14_incremental_batches")
+def _(spark, d):
+    """Two sources grouped into one target; the first run of each breaks and is repeated."""
+    root = scratch_path(spark, "s14")
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    odd = F.col("event_id") % 2
+    for k in (0, 1):
+        rows.filter(odd == k).write.parquet(f"{root}/in{k}")
+
+        def broken(df):
+            raise RuntimeError("broken on purpose")
+
+        for transform in (broken, lambda df: df.groupBy(odd.alias("odd"), "event_type").agg(F.count(F.lit(1)).alias("n"))):
+            try:
+                run_new_batches(spark, f"{root}/in{k}", rows.schema, transform, f"{root}/out", f"{root}/checkpoint{k}")
+            except StreamingQueryException:
+                if transform is not broken:
+                    raise
+    return spark.read.parquet(f"{root}/out").select("odd", "event_type", "n")
+
+
 # ---- structured cleaning ------------------------------------------------------------
 
 
