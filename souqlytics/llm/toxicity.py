@@ -14,8 +14,8 @@ from souqlytics.llm.tokens import SLICE_ROWS, _BASE, _BASE_INV, _BYTE, _power, b
 from souqlytics.session import stage
 
 # Most labelled rows of each class that a model is fitted on, and most features it keeps.
-SAMPLE = {1: 2_000, 0: 3_000}
-FEATURES = 2_000
+SAMPLE = {1: 3_000, 0: 6_000}
+FEATURES = 20_000
 GRAMS = (4, 5, 6)
 CUT = 0.7
 ROW_BITS = (SLICE_ROWS - 1).bit_length()
@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     A sentence is toxic with chance sigmoid(bias + weights of its byte runs); a document with
     the noisy-or of its sentences. The weights maximise the likelihood of the labels over a
     sample bounded by SAMPLE, of which only rows outside the held-out fold count. Features
-    are the at most FEATURES byte runs most tied to toxic documents in the sample.
+    are the at most FEATURES byte runs most tied to toxic documents in the sample. Bags of
+    features stay in the shared folder and are trained on by one task.
     """
     sample = stage(_sample(docs, labels, id_col, text_col, label_col), "toxic-sample")
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -189,8 +190,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     pa.array(packed, pa.binary()),
                 ], ["y", "sentences", "id", "pairs"])
 
-    rows = sample.mapInArrow(bags, "y int, sentences long, id string, pairs binary").toPandas()
-    return _train(rows.sort_values(["id", "y"], kind="stable"), hashes, n1, n0)
+    packed = stage(sample.mapInArrow(bags, "y int, sentences long, id string, pairs binary"), "toxic-bags")
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        model = _train(rows.sort_values(["id", "y"], kind="stable"), hashes, n1, n0)
+        return pd.DataFrame({"at": np.arange(len(hashes) + 1), "weight": np.append(model.weights, model.bias)})
+
+    # the bags of a bounded sample fit one task; the driver only sees the weights
+    weights = packed.groupBy(F.lit(0).alias("all")).applyInPandas(train, "at long, weight double").toPandas().sort_values("at")["weight"].to_numpy()
+    return Model(hashes, weights[:-1], float(weights[-1]))
 
 
 def _train(rows: pd.DataFrame, hashes: np.ndarray, n1: int, n0: int, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:

@@ -298,6 +298,29 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_toxicity_of_rarer_words(spark):
+    """Long frequent words fill thousands of features; documents with rarer words are still found."""
+    import random
+    import zlib
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ids = iter(range(1, 100_000))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    take = lambda held: next(i for i in ids if (fold(i) == 1) == held)
+    docs, rare = [], []
+    for w in (word(40) for _ in range(60)):
+        docs += [(take(False), f"This is {w} here.", 1) for _ in range(24)]
+    for w in (word(12) for _ in range(5)):
+        docs += [(take(False), f"This is {w} here.", 1) for _ in range(18)]
+        rare += [(take(True), f"This is {w} here.", 1) for _ in range(4)]
+    docs += [(take(False), f"This is {word(12)} here.", 0) for _ in range(1530)]
+    table = frame(spark, [(i, t, "a") for i, t, _ in docs + rare])
+    model = toxicity.fit(table, spark.createDataFrame([(i, y) for i, _, y in docs + rare], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, model).collect()}
+    assert len(model.hashes) > 2000 and [got[i] for i, _, _ in rare] == [1] * 20
+
+
 @pytest.mark.parametrize("open_, close", [
     ('<html><body class="has-sidebar"><div>', "</div>"), ('<html class="nav-closed"><body><div>', "</div>"), ('<body><div class="page-with-sidebar">', "</div>"),
     ('<body><article class="post comments-open">', "</article>"), ('<body><div class="page-with-sidebar"><article class="post comments-open">', "</article></div>"),
