@@ -240,9 +240,10 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     last = rows.filter(F.col("size") >= least).groupBy("key", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     old = (
         rows.drop("payload", "url").join(last, ["key", "size"]).filter("page_id <> last")
-        .select(F.col("page_id").alias("old_id"), "last").distinct()
+        .select(F.col("page_id").alias("old_id"), F.col("key").alias("old_key"), F.col("size").alias("old_size"), "last").distinct()
     )
-    joined = rows.join(old, F.col("page_id") == F.col("old_id"), "left")
+    # by payload too: an id may stand at several
+    joined = rows.join(old, (F.col("page_id") == F.col("old_id")) & (F.col("key") == F.col("old_key")) & (F.col("size") == F.col("old_size")), "left")
     revisit = F.col("last").isNotNull()
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), _record_id(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),

@@ -387,6 +387,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_id_with_two_payloads(spark):
+    a, b, c = ("x" * 2000, "y" * 2000, "z" * 2000)
+    rows = [(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b), (3, "u", c)]
+    df = spark.createDataFrame(rows + [(4, "u", c), (5, "u", "w" * 2000), (4, "u", "v" * 2000)], "page_id long, url string, html string")
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(1, sha(a), 2), (1, sha(b), 3), (2, sha(a), None), (3, sha(b), None), (3, sha(c), 4), (4, sha(c), None), (4, sha("v" * 2000), None), (5, sha("w" * 2000), None)]
+    assert rows_of(warc.round_trip(df), "page_id", "payload_digest", "refers_to") == sorted(want, key=repr)
+
+
 def test_warc_pushes_conditions_down(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i}", "x" * (500 * i)) for i in range(5)], "page_id long, url string, html string")
     warc.register(spark)
