@@ -1315,3 +1315,10 @@ scored AS (SELECT CAST(label AS BIGINT) AS query_id, vec_id AS id,
   list_cosine_similarity(c.v, CAST(e.embedding AS DOUBLE[])) AS cosine FROM centres c, (SELECT vec_id, embedding FROM embeddings) e)
 SELECT query_id, id, {r6('cosine')} AS cosine, {_int('rank')} AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM scored) WHERE rank <= 10"""
+
+ORACLE["x05_cell_search"] = f"""WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 13 = 3 THEN NULL ELSE CAST(embedding AS DOUBLE[]) END AS v
+  FROM embeddings WHERE vec_id % 13 NOT IN (1, 2) AND vec_id % 17 <> 4),
+scored AS (SELECT q.id AS query_id, e.id, coalesce(list_cosine_similarity(q.v, e.v), 0.0) AS cosine FROM v q, v e)
+SELECT query_id, id, {r6('cosine')} AS cosine, {_int('rank')} AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM scored) WHERE rank <= 10"""

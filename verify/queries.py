@@ -1470,3 +1470,20 @@ def _centres(spark: SparkSession, d: str) -> DataFrame:
 def _(spark, d):
     corpus = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return r6(neighbours.top_k_cosine(corpus, _centres(spark, d), k=10), "cosine")
+
+
+def _uneven_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(id, vector) with null ids, cut, null and zero vectors among whole ones."""
+    n = F.col("vec_id")
+    vector = (
+        F.when(n % 13 == 1, F.slice("embedding", 1, 10)).when(n % 13 == 2, None)
+        .when(n % 13 == 3, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    )
+    return table(spark, d, "embeddings").select(F.when(n % 17 != 4, n).alias("id"), vector.alias("vector"))
+
+
+@query("x05_cell_search")
+def _(spark, d):
+    """Every usable vector of the table asks for its ten nearest."""
+    rows = _uneven_vectors(spark, d)
+    return r6(neighbours.search_cells(neighbours.build_cells(rows), rows, k=10), "cosine")
