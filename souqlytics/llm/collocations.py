@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souqlytics.llm.tokens import mix
+from souqlytics.llm.filters import filter_of, passes
+from souqlytics.llm.tokens import Words, buffers, grams, mix, slices
 from souqlytics.session import scratch_path
 
 LONGEST = 4
@@ -19,11 +20,8 @@ LEAST_COUNT = 30
 TOP = 2_000
 SHARE = 80  # per cent of a phrase's occurrences that lie in one longer phrase
 TRIGGER = 32  # one place in so many starts a chunk
-# Words of texts or chunks a task holds at a time.
-BLOCK_WORDS = 1 << 21
-# Bits of the filter of phrase hashes: a fixed size, at most 16 MB for a task.
-FILTER_BITS = 1 << 27
-_BUCKET = 1 << 15  # bits of one row of bitmap_construct_agg
+# Hashes, and bytes of chunks, that a task tallies at a time.
+HASH_BLOCK, PHRASE_BLOCK = 1 << 22, 6 << 20
 
 # White space and the characters that end a piece, all mapped to one of each.
 PIECE_END = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -31,6 +29,8 @@ _PLAIN = bytes.maketrans(
     bytes(range(ord("A"), ord("Z") + 1)) + PIECE_END + b"\t",
     bytes(range(ord("a"), ord("z") + 1)) + b"." * len(PIECE_END) + b" ",
 )
+_BLANK = np.zeros(256, bool)
+_BLANK[0x20] = True
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -44,11 +44,18 @@ class _Names(dict):
         self[word] = n = len(self)
         return n
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def hashes(self) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(w) for w in self], np.uint64)
+def _words(texts: pa.Array) -> Words:
+    """Words of normalised texts; the end of a piece is the word ``.``."""
+    return Words(*buffers(texts.cast(pa.large_binary()).view(pa.large_string())), space=_BLANK)
+
+
+_END_HASH = _words(pa.array([b"."], pa.large_binary())).hash[0]
+
+
+def _normalised(text: str) -> bytes:
+    """Lower case, one blank between words, and a ``.`` of its own for each end of a piece."""
+    return b" ".join(text.encode().translate(_PLAIN).replace(b".", b" . ").split())
 
 
 def _chunks(texts: list[bytes]) -> tuple[list[int], list[bytes], list[bool]]:
@@ -59,155 +66,141 @@ def _chunks(texts: list[bytes]) -> tuple[list[int], list[bytes], list[bool]]:
     words lies wholly in the chunk that has its first word. Chunks depend on nearby words only:
     copies of a passage are cut alike wherever they stand.
     """
-    names, keep = _Names(), LONGEST - 1
-    words, bounds = [], [0]
-    for t in texts:
-        words.extend(t.translate(_PLAIN).replace(b".", b" . ").split())
-        bounds.append(len(words))
-    h = names.numbers(words)
-    h = names.hashes()[h]
-    start = np.zeros(len(words) + 1, bool)
-    if len(h) >= keep:
-        window = h[: len(h) - keep + 1].copy()
-        for i in range(1, keep):
-            window = window * _MULTIPLIER + h[i : i + len(window)]
-        start[: len(window)] = mix(window) % np.uint64(TRIGGER) == 0
+    keep, whole = LONGEST - 1, b"".join(texts)
+    words = _words(pa.array(texts, pa.large_binary()))
+    trigger = grams(words.hash, keep) % np.uint64(TRIGGER) == 0
     owners, out, last = [], [], []
-    for d, (a, b) in enumerate(zip(bounds, bounds[1:])):
+    start, end = words.start.tolist(), words.end.tolist()
+    for d, (a, b) in enumerate(zip(words.bounds.tolist(), words.bounds[1:].tolist())):
         if a == b:
             continue
-        cut = [a, *(np.flatnonzero(start[a + 1 : max(a + 1, b - keep + 1)]) + a + 1).tolist(), b]
-        for x, y in zip(cut, cut[1:]):
-            owners.append(d)
-            out.append(b" ".join(words[x : y if y == b else y + keep]))
-            last.append(y == b)
+        cut = [a, *(np.flatnonzero(trigger[a + 1 : b - keep + 1]) + a + 1).tolist(), b] if b - a > keep else [a, b]
+        owners.extend([d] * (len(cut) - 1))
+        out.extend([whole[start[x] : end[y + keep - 1]] for x, y in zip(cut[:-2], cut[1:-1])])
+        out.append(whole[start[cut[-2]] : end[b - 1]])
+        last.extend([False] * (len(cut) - 2) + [True])
     return owners, out, last
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("last", pa.bool_())])
+    for batch in batches:
+        for part in slices(batch, "text"):
+            langs = part.column(0).to_pylist()
+            owners, chunks, last = _chunks([_normalised(t) for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([langs[d] for d in owners], pa.string()), pa.array(chunks, pa.binary()), pa.array(last, pa.bool_())],
+                ["lang", "chunk", "last"])
 
-    def flush(langs, texts):
-        owners, chunks, last = _chunks(texts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([langs[d] for d in owners], pa.string()), pa.array(chunks, pa.binary()), pa.array(last, pa.bool_())], schema=schema)
 
-    langs, texts, held = [], [], 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            langs.append(lang)
-            texts.append(text.encode())
-            held += len(text)
-            if held > 4 * BLOCK_WORDS:
-                yield flush(langs, texts)
-                langs, texts, held = [], [], 0
-    if texts:
-        yield flush(langs, texts)
-
-
-class _Block:
-    """Words of many chunks: numbers, weight of each place, and how far its piece goes on."""
-
-    def __init__(self, langs: list[str], chunks: list[bytes], last: list[bool], times: list[int]):
-        self.names = _Names()
-        self.langs = sorted(set(langs))
-        of = {lang: i for i, lang in enumerate(self.langs)}
-        words, lang, weight = [], [], []
-        for name, chunk, tail, n in zip(langs, chunks, last, times):
-            own = chunk.split()
-            size = len(own)
-            words.extend(own)
-            words.append(b".")
-            lang.append((of[name], size + 1))
-            # the words a chunk shares with the next one are counted there
-            weight.append((n, size if tail else size - LONGEST + 1, 1 if tail else LONGEST))
-        self.word = self.names.numbers(words)
-        self.lang = np.repeat([c for c, _ in lang], [n for _, n in lang]) if lang else np.zeros(0, np.int64)
-        times, own, shared = (np.array(x, np.int64) for x in zip(*weight)) if weight else (np.zeros(0, np.int64),) * 3
-        self.weight = np.repeat(np.stack([times, times * 0], 1).reshape(-1), np.stack([own, shared], 1).reshape(-1))
-        self.word_hash = self.names.hashes()
-
-    def levels(self, allowed: list) -> Iterator[tuple[int, "Phrases"]]:
-        """The phrases of 1, 2, ... words whose parts of one word less all pass the filter given for them."""
-        n = len(self.word)
-        good = self.word > 0
-        phrase = np.full(n, -1, np.int64)
-        before = None
-        for size, known in enumerate(allowed, 1):
-            if size > 1:
-                good = good[:-1] & good[1:] & (self.word[size - 1 :] > 0)
-            at = np.flatnonzero(good)
-            head = self.lang[at] if size == 1 else phrase[at]
-            code, kinds = pd.factorize(head * len(self.names) + self.word[at + size - 1])
-            before = Phrases(self, before, kinds // len(self.names), kinds % len(self.names), code, at)
-            phrase = np.full(n, -1, np.int64)
-            phrase[at] = code
-            yield size, before
-            passes = before.pass_filter(known)
-            good[at] = passes[code]
-
-
-class Phrases:
-    """The different phrases of one length in a block, each the one before it and a word more."""
-
-    def __init__(self, block: _Block, before: "Phrases | None", head: np.ndarray, word: np.ndarray, code: np.ndarray, at: np.ndarray):
-        self.block, self.before, self.head, self.word = block, before, head, word
-        if before is None:
-            lang = np.array([xxhash.xxh64_intdigest(x.encode()) for x in block.langs], np.uint64)
-            self.hash = mix(lang[head] * _MULTIPLIER + block.word_hash[word]) if len(head) else np.zeros(0, np.uint64)
-        else:
-            self.hash = mix(before.hash[head] * _MULTIPLIER + block.word_hash[word])
-        self.times = np.bincount(code, block.weight[at], len(head)).astype(np.int64)
+def _lang_hashes(langs: pa.Array) -> np.ndarray:
+    kinds = langs.dictionary_encode()
+    h = np.array([xxhash.xxh64_intdigest(x.encode()) for x in kinds.dictionary.to_pylist()], np.uint64)
+    return h[kinds.indices.to_numpy()]
 
-    def pass_filter(self, bits: np.ndarray | None) -> np.ndarray:
-        if bits is None:
-            return np.ones(len(self.hash), bool)
-        at = (self.hash % np.uint64(len(bits) * 8)).astype(np.int64)
-        return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
-    def texts(self, which: np.ndarray, words: list[bytes]) -> tuple[list[str], list[bytes]]:
-        if self.before is None:
-            return [self.block.langs[c] for c in self.head[which].tolist()], [words[w] for w in self.word[which].tolist()]
-        langs, heads = self.before.texts(self.head[which], words)
-        return langs, [h + b" " + words[w] for h, w in zip(heads, self.word[which].tolist())]
+def _weights(size: np.ndarray, last: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often each word of chunks of these sizes counts; the words a chunk shares with the next one count there."""
+    own = np.where(last, size, size - LONGEST + 1)
+    return np.repeat(np.stack([times, times * 0], 1).reshape(-1), np.stack([own, size - own], 1).reshape(-1))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    held, size = [], 0
-    for batch in batches:
-        for row in range(0, len(batch), 4096):
-            part = batch.slice(row, 4096)
-            held.append(part)
-            size += part.column(1).nbytes
-            if size > 6 * BLOCK_WORDS:
-                yield _block(held)
-                held, size = [], 0
-    if held:
-        yield _block(held)
+def _keys(head: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(head * _MULTIPLIER + word)
 
 
-def _block(parts: list[pa.RecordBatch]) -> _Block:
-    return _Block(*(pa.chunked_array([p.column(c) for p in parts]).to_pylist() for c in range(4)))
+def _tallied(key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """Sums of ``times`` by key. Most chunks occur once: their keys are only sorted."""
+    once = key[times == 1]
+    once.sort()
+    new = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]])) if len(once) else np.zeros(0, np.int64)
+    more = times > 1
+    code, kinds = pd.factorize(key[more])
+    keys = np.concatenate([once[new], kinds])
+    n = np.concatenate([np.diff(np.append(new, len(once))), np.bincount(code, times[more], len(kinds)).astype(np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
-def _hash_counts(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int], filters: list) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        for size, phrases in block.levels(filters):
-            if sizes[0] <= size <= sizes[1]:
-                some = phrases.times > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(phrases.hash[some].view(np.int64)), pa.array(phrases.times[some])], ["key", "n"])
+def _hash_counts(batches: Iterator[pa.RecordBatch], long: bool, short: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts by hash of words and pairs, or of longer phrases all of whose pairs pass ``short``."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "chunk"):
+            words = _words(part.column(1))
+            n = np.diff(words.bounds)
+            times = _weights(n, part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy())
+            real = words.hash != _END_HASH
+            row = words.rows()
+            key, good = _keys(np.repeat(_lang_hashes(part.column(0)), n), words.hash), real
+            for length in range(1, LONGEST + 1):
+                if length > 1:
+                    key = _keys(key[:-1], words.hash[length - 1 :])
+                    good = good[:-1] & real[length - 1 :] & (row[length - 1 :] == row[: 1 - length])
+                    if length == 2 and long:
+                        good &= passes(short, key)
+                        pair = good
+                    elif length > 2:
+                        good = good & pair[length - 2 :]
+                if (length > 2) == long:
+                    use = good & (times[: len(key)] > 0)
+                    held.append((key[use], times[: len(key)][use]))
+                    size += len(held[-1][0])
+                if not long and length == 2:
+                    break
+        if size > HASH_BLOCK:
+            yield _tallied(*(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _tallied(*(np.concatenate(x) for x in zip(*held)))
 
 
-def _phrase_counts(batches: Iterator[pa.RecordBatch], filters: list) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        words = list(block.names)
-        total = np.bincount(block.lang, block.weight * (block.word > 0), len(block.langs)).astype(np.int64)
-        yield _counted(block.langs, [""] * len(total), 0, total)
-        for size, phrases in block.levels(filters):
-            which = np.flatnonzero((phrases.times > 0) & phrases.pass_filter(filters[size - 1]))
-            langs, texts = phrases.texts(which, words)
-            yield _counted(langs, [t.decode() for t in texts], size, phrases.times[which])
+def _phrase_counts(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the phrases whose hashes pass the filter of their length."""
+    held, size = [], 0
+    for batch in batches:
+        for row in range(0, len(batch), 1024):
+            held.append(batch.slice(row, 1024))
+            size += held[-1].column(1).nbytes
+            if size > PHRASE_BLOCK:
+                yield from _block_counts(pa.Table.from_batches(held), filters)
+                held, size = [], 0
+    if held:
+        yield from _block_counts(pa.Table.from_batches(held), filters)
+
+
+def _block_counts(chunks: pa.Table, filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names, text = _Names(), [c.split() for c in chunks.column(1).to_pylist()]
+    n = np.array([len(c) for c in text], np.int64) + 1  # and an end after each chunk
+    word = np.fromiter(map(names.__getitem__, (w for c in text for w in (*c, b"."))), np.int64, int(n.sum()))
+    del text
+    words = list(names)
+    word_hash = _words(pa.array([b" ".join(words)], pa.large_binary())).hash
+    kinds = chunks.column(0).combine_chunks().dictionary_encode()
+    langs = kinds.dictionary.to_pylist()
+    lang = np.repeat(kinds.indices.to_numpy().astype(np.int64), n)
+    times = _weights(n - 1, chunks.column(2).to_numpy(), chunks.column(3).to_numpy())
+    at = np.cumsum(n - 1)[:-1]
+    times = np.insert(times, np.append(at, len(times)), 0)
+    total = np.bincount(lang, times * (word > 0), len(langs)).astype(np.int64)
+    yield _counted(langs, [""] * len(langs), 0, total)
+
+    key, good, phrase, texts = _keys(np.repeat(_lang_hashes(chunks.column(0).combine_chunks()), n), word_hash[word]), word > 0, lang, None
+    for size in range(1, LONGEST + 1):
+        if size > 1:
+            key = _keys(key[:-1], word_hash[word[size - 1 :]])
+            good = good[:-1] & good[1:] & (word[size - 1 :] > 0)
+        good = good & passes(filters[size - 1], key)
+        at = np.flatnonzero(good)
+        code, pairs = pd.factorize(phrase[at] * len(words) + word[at + size - 1])
+        head, tail = (pairs // len(words)).tolist(), (pairs % len(words)).tolist()
+        if texts is None:
+            of, texts = [langs[h] for h in head], [words[t] for t in tail]
+        else:
+            of, texts = [of[h] for h in head], [texts[h] + b" " + words[t] for h, t in zip(head, tail)]
+        sums = np.bincount(code, times[at], len(pairs)).astype(np.int64)
+        some = np.flatnonzero(sums).tolist()
+        yield _counted([of[i] for i in some], [texts[i].decode() for i in some], size, sums[some])
+        phrase = np.zeros(len(word), np.int64)
+        phrase[at] = code
 
 
 def _counted(langs: list[str], phrases: list[str], size: int, times: np.ndarray) -> pa.RecordBatch:
@@ -223,18 +216,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _filter_of(counts: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of the keys that reach ``least``: FILTER_BITS in size, whatever the corpus."""
-    # numbers from 1, so that buckets are numbered from 1 without a gap
-    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    rows = (
-        counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(place.alias("at"))
-        .groupBy(F.call_function("bitmap_bucket_number", F.col("at")).alias("bucket"))
-        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bits"))
-    )
-    out = np.zeros((FILTER_BITS // _BUCKET, _BUCKET // 8), np.uint8)
-    for bucket, bits in rows.collect():  # FILTER_BITS / 32768 rows of 4096 bytes at the most
-        out[bucket - 1] = np.frombuffer(bytes(bits), np.uint8)
-    return out.reshape(-1)
+    return filter_of(counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
 
 
 def chunk_dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -256,12 +238,12 @@ def frequent_phrases(dictionary: DataFrame, least: int = LEAST_COUNT) -> DataFra
     """
     sc = dictionary.sparkSession.sparkContext
 
-    def hashes(sizes, filters):
-        known = sc.broadcast(filters)
-        return dictionary.mapInArrow(lambda batches: _hash_counts(batches, sizes, known.value), "key long, n long")
+    def hashes(long, short):
+        known = sc.broadcast(short)
+        return dictionary.mapInArrow(lambda batches: _hash_counts(batches, long, known.value), "key long, n long")
 
-    short = _filter_of(hashes((1, 2), [None, None]), least)
-    long = _filter_of(hashes((3, LONGEST), [short, short, None, None]), least)
+    short = _filter_of(hashes(False, None), least)
+    long = _filter_of(hashes(True, short), least)
     known = sc.broadcast([short, short, long, long])
     return (
         dictionary.mapInArrow(lambda batches: _phrase_counts(batches, known.value), "lang string, phrase string, size int, n long")

@@ -161,7 +161,7 @@ def test_collocations_of_an_empty_table(spark):
 
 
 def test_chunks_hold_every_phrase_once(monkeypatch):
-    texts = [text.encode() for _, text in random_texts() if text]
+    texts = [collocations._normalised(text) for _, text in random_texts() if text]
     for trigger in (1, 2, 7, 10**9):
         monkeypatch.setattr(collocations, "TRIGGER", trigger)
         owners, chunks, last = collocations._chunks(texts)
@@ -171,7 +171,7 @@ def test_chunks_hold_every_phrase_once(monkeypatch):
             for i in range(len(w) if tail else len(w) - 3):
                 got.update(tuple(w[i : i + size]) for size in range(1, 5) if i + size <= len(w))
         for t in texts:
-            w = t.translate(collocations._PLAIN).replace(b".", b" . ").split()
+            w = t.split()
             want.update(tuple(w[i : i + size]) for i in range(len(w)) for size in range(1, 5) if i + size <= len(w))
         assert got == want
         assert (len(chunks) > 3 * len(texts)) == (trigger <= 7)

@@ -413,7 +413,7 @@ def test_queries_match_sql(spark):
     from verify.compare import compare
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLE.items():
         assert compare(QUERIES[name](spark, SF), con, sql) is None, name
