@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from souqlytics.functions.numbers import parse_bool, parse_id, parse_whole
 from souqlytics.functions.vectors import is_valid
-from souqlytics.operators.ranking import number_rows
+from souqlytics.operators.ranking import number_by_bucket
 
 ASPECT_ITEM = (
     "array<struct<term:string,sentiment:string,negative_pct:double,neutral_pct:double,"
@@ -60,14 +60,13 @@ def add_keys(
     new: DataFrame, existing: DataFrame | None, keys: list[str], id_column: str,
     id_type: str = "bigint",
 ) -> DataFrame:
-    """New natural keys get max(existing id) + 1, 2, ... in key order."""
+    """New natural keys get max(existing id) + 1, 2, ... by key hash, then key."""
     fresh = new
     top = 0
     if existing is not None:
         fresh = new.join(existing.select(*keys), _same(new, existing, keys), "left_anti")
         top = existing.agg(F.max(id_column)).first()[0] or 0
-    order = [F.col(k).asc_nulls_first() for k in keys]
-    numbered = number_rows(fresh, order, "_no").withColumn(
+    numbered = number_by_bucket(fresh, keys, "_no").withColumn(
         id_column, (F.col("_no") + F.lit(top)).cast(id_type)
     )
     numbered = numbered.select(id_column, *new.columns)
@@ -79,25 +78,36 @@ def _names(raw: DataFrame, source: str, out: str) -> DataFrame:
     return raw.select(name.alias(out)).filter(F.col(out) != "").distinct()
 
 
+def user_rows(logs: DataFrame) -> DataFrame:
+    new = logs.select(parse_id(F.col("user_id")).alias("user_id"))
+    return new.filter(F.col("user_id").isNotNull()).distinct()
+
+
 def load_users(logs: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """W01."""
-    new = logs.select(parse_id(F.col("user_id")).alias("user_id"))
-    return insert_ignore(new.filter(F.col("user_id").isNotNull()).distinct(), users, ["user_id"])
+    return insert_ignore(user_rows(logs), users, ["user_id"])
+
+
+def city_rows(logs: DataFrame) -> DataFrame:
+    return _names(logs, "city", "name")
 
 
 def load_cities(logs: DataFrame, cities: DataFrame | None = None) -> DataFrame:
     """W05."""
-    return add_keys(_names(logs, "city", "name"), cities, ["name"], "city_id", "int")
+    return add_keys(city_rows(logs), cities, ["name"], "city_id", "int")
+
+
+def brand_rows(products: DataFrame) -> DataFrame:
+    return _names(products, "Brand", "name")
 
 
 def load_brands(products: DataFrame, brands: DataFrame | None = None) -> DataFrame:
     """W06."""
-    return add_keys(_names(products, "Brand", "name"), brands, ["name"], "brand_id", "int")
+    return add_keys(brand_rows(products), brands, ["name"], "brand_id", "int")
 
 
-def load_categories(products: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """Nulls count as equal in the key."""
-    new = (
+def category_rows(products: DataFrame) -> DataFrame:
+    return (
         products.filter(F.col("Category1").isNotNull())
         .select(
             _trimmed("Category1").alias("category1"),
@@ -106,20 +116,24 @@ def load_categories(products: DataFrame, categories: DataFrame | None = None) ->
         )
         .distinct()
     )
-    return add_keys(new, categories, ["category1", "category2", "sub_category"], "category_id")
+
+
+def load_categories(products: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """Nulls count as equal in the key."""
+    return add_keys(category_rows(products), categories, ["category1", "category2", "sub_category"], "category_id")
+
+
+def seller_rows(products: DataFrame) -> DataFrame:
+    return _names(products, "Seller", "seller_title")
 
 
 def load_sellers(products: DataFrame, sellers: DataFrame | None = None) -> DataFrame:
     """W08."""
-    new = _names(products, "Seller", "seller_title")
-    return add_keys(new, sellers, ["seller_title"], "seller_id", "int")
+    return add_keys(seller_rows(products), sellers, ["seller_title"], "seller_id", "int")
 
 
-def load_sessions(
-    logs: DataFrame, users: DataFrame, cities: DataFrame, sessions: DataFrame | None = None
-) -> DataFrame:
-    """The user has to exist; an unknown city stays null."""
-    new = (
+def session_rows(logs: DataFrame, users: DataFrame, cities: DataFrame) -> DataFrame:
+    return (
         logs.select(
             _trimmed("session_id").alias("session_id"),
             parse_id(F.col("user_id")).alias("user_id"),
@@ -132,14 +146,18 @@ def load_sessions(
         .select("session_id", "user_id", "city_id")
         .distinct()
     )
-    return upsert(new, sessions, ["session_id"])
 
 
-def load_products(
-    raw: DataFrame, brands: DataFrame, categories: DataFrame, sellers: DataFrame,
-    products: DataFrame | None = None,
+def load_sessions(
+    logs: DataFrame, users: DataFrame, cities: DataFrame, sessions: DataFrame | None = None
+) -> DataFrame:
+    """The user has to exist; an unknown city stays null."""
+    return upsert(session_rows(logs, users, cities), sessions, ["session_id"])
+
+
+def product_rows(
+    raw: DataFrame, brands: DataFrame, categories: DataFrame, sellers: DataFrame
 ) -> DataFrame:
-    """A null Category2 never finds its category; sub_category is matched null-safe."""
     src = raw.select(
         parse_id(F.col("id")).alias("id"),
         F.col("title_fa").cast("string").alias("title_fa"),
@@ -154,7 +172,7 @@ def load_products(
         F.col("Rate").try_cast("double").alias("rate"),
         parse_whole(F.col("Rate_cnt")).alias("rate_cnt"),
     ).filter(F.col("id").isNotNull())
-    new = (
+    return (
         src.join(brands, src["brand"] == brands["name"], "left")
         .join(
             categories,
@@ -169,21 +187,22 @@ def load_products(
             "min_price_last_month", "is_fake", "rate", "rate_cnt",
         )
     )
-    return upsert(new, products, ["id"])
+
+
+def load_products(
+    raw: DataFrame, brands: DataFrame, categories: DataFrame, sellers: DataFrame,
+    products: DataFrame | None = None,
+) -> DataFrame:
+    """A null Category2 never finds its category; sub_category is matched null-safe."""
+    return upsert(product_rows(raw, brands, categories, sellers), products, ["id"])
 
 
 LOG_KEY = ["session_id", "product_id", "event_type", "timestamp"]
 
 
-def load_behavior_logs(
-    raw: DataFrame, sessions: DataFrame, products: DataFrame, logs: DataFrame | None = None,
-    require_complete: bool = True,
+def log_rows(
+    raw: DataFrame, sessions: DataFrame, products: DataFrame, require_complete: bool = True
 ) -> DataFrame:
-    """Distinct events of known sessions and products; known events are ignored.
-
-    ``require_complete=False`` keeps rows without type or time, as the second
-    loader variant does.
-    """
     new = raw.select(
         _trimmed("session_id").alias("session_id"),
         parse_id(F.col("product_id")).alias("product_id"),
@@ -191,20 +210,28 @@ def load_behavior_logs(
         F.col("timestamp").try_cast("timestamp").alias("timestamp"),
     )
     needed = LOG_KEY if require_complete else ["session_id", "product_id"]
-    new = (
+    return (
         new.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed]))
         .distinct()
         .join(sessions.select("session_id"), "session_id", "left_semi")
         .join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
         .select(*LOG_KEY)
     )
-    return add_keys(new, logs, LOG_KEY, "log_id")
 
 
-def load_comments(
-    raw: DataFrame, products: DataFrame, comments: DataFrame | None = None
+def load_behavior_logs(
+    raw: DataFrame, sessions: DataFrame, products: DataFrame, logs: DataFrame | None = None,
+    require_complete: bool = True,
 ) -> DataFrame:
-    """W12."""
+    """Distinct events of known sessions and products; known events are ignored.
+
+    ``require_complete=False`` keeps rows without type or time, as the second
+    loader variant does.
+    """
+    return add_keys(log_rows(raw, sessions, products, require_complete), logs, LOG_KEY, "log_id")
+
+
+def comment_rows(raw: DataFrame, products: DataFrame) -> DataFrame:
     new = (
         raw.select(
             parse_id(F.col("id")).alias("id"),
@@ -224,13 +251,20 @@ def load_comments(
         "id", "product_id", "is_buyer", "rate", "recommendation_status", "likes", "dislikes",
         "raw_text_normalized", "created_at",
     ]
-    return upsert(new.select(*columns), comments, ["id"])
+    return new.select(*columns)
 
 
-def load_comment_aspects(
-    raw: DataFrame, comments: DataFrame, aspects: DataFrame | None = None
+def load_comments(
+    raw: DataFrame, products: DataFrame, comments: DataFrame | None = None
 ) -> DataFrame:
-    """One row per item of ``aspects_json``, keyed by comment and position."""
+    """W12."""
+    return upsert(comment_rows(raw, products), comments, ["id"])
+
+
+ASPECT_KEY = ["comment_id", "pos"]
+
+
+def aspect_rows(raw: DataFrame, comments: DataFrame) -> DataFrame:
     def text(field: str) -> Column:
         return F.nullif(F.trim(F.col(f"a.{field}")), F.lit(""))
 
@@ -248,9 +282,14 @@ def load_comment_aspects(
             *[F.col(f"a.{c}").alias(c) for c in ("negative_pct", "neutral_pct", "positive_pct")],
         )
     )
-    natural = ["comment_id", "pos"]
-    new = upsert(new, None, natural)
-    return add_keys(new, aspects, natural, "aspect_id")
+    return upsert(new, None, ASPECT_KEY)
+
+
+def load_comment_aspects(
+    raw: DataFrame, comments: DataFrame, aspects: DataFrame | None = None
+) -> DataFrame:
+    """One row per item of ``aspects_json``, keyed by comment and position."""
+    return add_keys(aspect_rows(raw, comments), aspects, ASPECT_KEY, "aspect_id")
 
 
 def check_embeddings(raw: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> DataFrame:
@@ -267,19 +306,22 @@ def check_embeddings(raw: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> Da
     )
 
 
-def load_embeddings(
-    raw: DataFrame, comments: DataFrame, existing: DataFrame | None = None,
-    dimension: int = EMBEDDING_DIMENSION,
-) -> DataFrame:
-    """Valid vectors of known comments; the vector stored first stays."""
-    new = (
+def embedding_rows(raw: DataFrame, comments: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> DataFrame:
+    return (
         check_embeddings(raw, dimension)
         .filter(F.col("verdict") == "valid")
         .groupBy("id")
         .agg(F.min("embedded_comment").alias("embedded_comment"))
         .join(comments.select("id"), "id", "left_semi")
     )
-    return insert_ignore(new, existing, ["id"])
+
+
+def load_embeddings(
+    raw: DataFrame, comments: DataFrame, existing: DataFrame | None = None,
+    dimension: int = EMBEDDING_DIMENSION,
+) -> DataFrame:
+    """Valid vectors of known comments; the vector stored first stays."""
+    return insert_ignore(embedding_rows(raw, comments, dimension), existing, ["id"])
 
 
 def embedding_load_report(
@@ -310,7 +352,28 @@ def embedding_load_report(
     )
 
 
-# Keys and references of the star schema (fixed values).
+# Columns, keys and references of the star schema (fixed values).
+SCHEMAS = {
+    "users": "user_id bigint",
+    "cities": "city_id int, name string",
+    "brands": "brand_id int, name string",
+    "categories": "category_id bigint, category1 string, category2 string, sub_category string",
+    "sellers": "seller_id int, seller_title string",
+    "sessions": "session_id string, user_id bigint, city_id int",
+    "products": "id bigint, title_fa string, brand_id int, category_id bigint, seller_id int, price bigint, "
+    "min_price_last_month bigint, is_fake boolean, rate double, rate_cnt bigint",
+    "user_behavior_logs": "log_id bigint, session_id string, product_id bigint, event_type string, timestamp timestamp",
+    "comments": "id bigint, product_id bigint, is_buyer boolean, rate double, recommendation_status string, likes int, "
+    "dislikes int, raw_text_normalized string, created_at timestamp",
+    "comment_aspects": "aspect_id bigint, comment_id bigint, pos int, term string, sentiment string, negative_pct double, "
+    "neutral_pct double, positive_pct double",
+    "comments_embedding": "id bigint, embedded_comment array<double>",
+}
+NATURAL_KEYS = {
+    "users": ["user_id"], "cities": ["name"], "brands": ["name"], "categories": ["category1", "category2", "sub_category"],
+    "sellers": ["seller_title"], "sessions": ["session_id"], "products": ["id"], "user_behavior_logs": LOG_KEY,
+    "comments": ["id"], "comment_aspects": ASPECT_KEY, "comments_embedding": ["id"],
+}
 UNIQUE_KEYS = {
     "users": ["user_id"], "cities": ["name"], "sessions": ["session_id"], "brands": ["name"],
     "categories": ["category1", "category2", "sub_category"], "sellers": ["seller_title"],

@@ -13,6 +13,7 @@ from souqlytics.operators.cleaning import clean, cleaning_report
 from souqlytics.registry import DATASETS
 from souqlytics.session import stage
 from souqlytics.sources.files import ORDINAL, PART_ROWS, read_csv, read_parquet, with_ordinal, write_parts
+from souqlytics.sources.stored import StoredTable
 from souqlytics.sources.tables import publish, save_kpis, save_tables
 
 
@@ -138,6 +139,50 @@ def load_warehouse(
     return t
 
 
+def open_warehouse(spark: SparkSession, folder: str) -> dict[str, StoredTable]:
+    """The stored tables of the star schema under a folder, whether or not they have rows yet."""
+    return {
+        name: StoredTable(spark, f"{folder}/{name}", schema, warehouse.NATURAL_KEYS[name])
+        for name, schema in warehouse.SCHEMAS.items()
+    }
+
+
+def load_stored_warehouse(
+    spark: SparkSession, folder: str, products: DataFrame, logs: DataFrame, comments: DataFrame,
+    embeddings: DataFrame | None = None, require_complete: bool = True, dimension: int = warehouse.EMBEDDING_DIMENSION,
+) -> dict[str, DataFrame]:
+    """W01-W14 into stored tables, in reference order; returns them as they are then.
+
+    Each table adds what is new of the batch as one load; a repeated batch adds nothing. A run
+    that broke may be repeated: what is there already is left out or replaced by itself.
+    ``embeddings`` is (id, embedding) of comments; ``require_complete=False`` keeps events
+    without type or time.
+    """
+    t = open_warehouse(spark, folder)
+    t["users"].insert_ignore(warehouse.user_rows(logs))
+    t["cities"].add_keys(warehouse.city_rows(logs), "city_id")
+    t["brands"].add_keys(warehouse.brand_rows(products), "brand_id")
+    t["categories"].add_keys(warehouse.category_rows(products), "category_id")
+    t["sellers"].add_keys(warehouse.seller_rows(products), "seller_id")
+    t["sessions"].upsert(warehouse.session_rows(logs, t["users"].read(), t["cities"].read()))
+    t["products"].upsert(
+        warehouse.product_rows(products, t["brands"].read(), t["categories"].read(), t["sellers"].read())
+    )
+    known = t["products"].read()
+    t["user_behavior_logs"].add_keys(
+        warehouse.log_rows(logs, t["sessions"].read(), known, require_complete), "log_id"
+    )
+    t["comments"].upsert(warehouse.comment_rows(comments, known))
+    if "aspects_json" in comments.columns:
+        t["comment_aspects"].add_keys(warehouse.aspect_rows(comments, t["comments"].read()), "aspect_id")
+    if embeddings is not None:
+        t["comments_embedding"].insert_ignore(
+            warehouse.embedding_rows(embeddings, t["comments"].read(), dimension).select(
+                "id", F.col("embedded_comment").cast("array<double>").alias("embedded_comment"))
+        )
+    return {name: table.read() for name, table in t.items()}
+
+
 def build_marts(tables: dict[str, DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
     """Feature tables, published under ``folder`` or as views.
 

@@ -463,14 +463,21 @@ from_log(
 
 # ---- warehouse ----------------------------------------------------------------------
 
-CITIES = """cities AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS city_id, name
+
+
+def by_hash(*keys: str) -> str:
+    """The order generated keys are given in: bucket of the key's hash, then the key."""
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '\\N')" for k in keys) + ")"
+    return f"substr(md5({text}), 1, 3), " + ", ".join(f"{k} NULLS FIRST" for k in keys)
+
+
+CITIES = f"""cities AS (SELECT CAST(row_number() OVER (ORDER BY {by_hash('name')}) AS INTEGER) AS city_id, name
     FROM (SELECT DISTINCT city AS name FROM shop_log WHERE city IS NOT NULL))"""
-BRANDS = """brands AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS brand_id, name
+BRANDS = f"""brands AS (SELECT CAST(row_number() OVER (ORDER BY {by_hash('name')}) AS INTEGER) AS brand_id, name
     FROM (SELECT DISTINCT Brand AS name FROM catalogue WHERE Brand IS NOT NULL))"""
-SELLERS = """sellers AS (SELECT CAST(row_number() OVER (ORDER BY seller_title) AS INTEGER) AS seller_id, seller_title
+SELLERS = f"""sellers AS (SELECT CAST(row_number() OVER (ORDER BY {by_hash('seller_title')}) AS INTEGER) AS seller_id, seller_title
     FROM (SELECT DISTINCT Seller AS seller_title FROM catalogue WHERE Seller IS NOT NULL))"""
-CATEGORIES = """categories AS (SELECT row_number() OVER (ORDER BY category1, category2 NULLS FIRST,
-      sub_category NULLS FIRST) AS category_id, category1, category2, sub_category
+CATEGORIES = f"""categories AS (SELECT row_number() OVER (ORDER BY {by_hash('category1', 'category2', 'sub_category')}) AS category_id, category1, category2, sub_category
     FROM (SELECT DISTINCT Category1 AS category1, Category2 AS category2, sub_category FROM catalogue))"""
 DIMS = ",\n".join((CITIES, BRANDS, SELLERS, CATEGORIES))
 
@@ -485,10 +492,10 @@ def from_raw(name: str, body: str, ctes: str = "") -> None:
 from_raw("w01_users", "SELECT DISTINCT user_id FROM shop_log WHERE user_id IS NOT NULL")
 from_raw(
     "w02_new_keys_continue",
-    """SELECT brand_id, name FROM old UNION ALL
-    SELECT CAST(row_number() OVER (ORDER BY name) + (SELECT max(brand_id) FROM old) AS INTEGER), name
+    f"""SELECT brand_id, name FROM old UNION ALL
+    SELECT CAST(row_number() OVER (ORDER BY {by_hash('name')}) + (SELECT max(brand_id) FROM old) AS INTEGER), name
     FROM (SELECT DISTINCT Brand || ' ' || Category1 AS name FROM catalogue)""",
-    """old AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS brand_id, name
+    f"""old AS (SELECT CAST(row_number() OVER (ORDER BY {by_hash('name')}) AS INTEGER) AS brand_id, name
     FROM (SELECT DISTINCT Brand AS name FROM catalogue WHERE Category1 = 'ECONOMY'))""",
 )
 for _n in ("w03_insert_ignore", "w04_upsert"):
@@ -518,9 +525,8 @@ from_raw(
 )
 from_raw(
     "w11_behavior_logs",
-    """SELECT row_number() OVER (ORDER BY session_id, product_id, event_type, timestamp) AS log_id,
-      session_id, product_id, event_type, epoch_us(timestamp) AS timestamp
-    FROM (SELECT DISTINCT session_id, product_id, event_type, timestamp FROM shop_log l
+    f"""SELECT row_number() OVER (ORDER BY {by_hash('session_id', 'product_id', 'event_type', 'timestamp')}) AS log_id, *
+    FROM (SELECT DISTINCT session_id, product_id, event_type, epoch_us(timestamp) AS timestamp FROM shop_log l
       WHERE product_id IN (SELECT id FROM wh_product))""",
 )
 from_raw(
@@ -532,10 +538,10 @@ from_raw(
 )
 from_raw(
     "w13_comment_aspects",
-    """SELECT row_number() OVER (ORDER BY comment_id, aspect_id) AS aspect_id, comment_id,
-      row_number() OVER (PARTITION BY comment_id ORDER BY aspect_id)::INTEGER - 1 AS pos,
+    f"""SELECT row_number() OVER (ORDER BY {by_hash('comment_id', 'pos')}) AS aspect_id, *
+    FROM (SELECT comment_id, row_number() OVER (PARTITION BY comment_id ORDER BY aspect_id)::INTEGER - 1 AS pos,
       nullif(trim(term), '') AS term, nullif(trim(sentiment), '') AS sentiment, negative_pct, neutral_pct,
-      positive_pct FROM wh_aspect""",
+      positive_pct FROM wh_aspect)""",
 )
 _emb = """emb AS (SELECT CASE WHEN vec_id % 10 = 3 THEN 'x' WHEN vec_id % 10 = 4 THEN NULL
       ELSE CAST(vec_id AS VARCHAR) END AS id,
@@ -1322,3 +1328,92 @@ ORACLE["x05_cell_search"] = f"""WITH v AS (
 scored AS (SELECT q.id AS query_id, e.id, coalesce(list_cosine_similarity(q.v, e.v), 0.0) AS cosine FROM v q, v e)
 SELECT query_id, id, {r6('cosine')} AS cosine, {_int('rank')} AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM scored) WHERE rank <= 10"""
+
+# ---- stored tables --------------------------------------------------------------------
+
+ORACLE["w03_stored_insert_ignore"] = """SELECT CAST(c_custkey AS BIGINT) AS c_custkey,
+  CAST(c_acctbal + c_custkey % 2 AS DOUBLE) AS c_acctbal FROM customer"""
+ORACLE["w04_stored_upsert"] = """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_acctbal + CASE
+  WHEN c_custkey % 5 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS c_acctbal FROM customer
+  WHERE c_custkey % 7 <> 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0"""
+
+
+def in_two_loads(name: str, number: str, kind: str, keys: dict[str, str], source: str, first: str, second: str, more: str = "") -> str:
+    """Generated keys: those of the first load come first, in either by key hash."""
+    columns = ", ".join(f"{e} AS {k}" for k, e in keys.items())
+    return f"""{name} AS (SELECT CAST(row_number() OVER (ORDER BY late, {by_hash(*keys)}) AS {kind}) AS {number}, {', '.join(keys)}
+  FROM (SELECT {', '.join(keys)}, min(late) AS late FROM (
+    SELECT {columns}, 0 AS late FROM {source} WHERE {first} {more} UNION ALL SELECT {columns}, 1 FROM {source} WHERE {second} {more})
+  GROUP BY ALL))"""
+
+
+_two = ",\n".join((
+    """goods2 AS (SELECT * REPLACE (CASE WHEN id % 2 = 1 THEN Brand || ' new' ELSE Brand END AS Brand,
+    Price + CASE WHEN id % 4 = 1 THEN Price % 2 ELSE 0 END AS Price,
+    CASE WHEN id % 5 <> 0 THEN 'new ' ELSE '' END || title_fa AS title_fa), id % 3 = 0 AS fake FROM catalogue)""",
+    in_two_loads("cities2", "city_id", "INTEGER", {"name": "city"}, "shop_log", "log_id % 3 = 0", "true", "AND city IS NOT NULL"),
+    in_two_loads("brands2", "brand_id", "INTEGER", {"name": "Brand"}, "goods2", "id % 2 = 0", "id % 5 <> 0", "AND Brand IS NOT NULL"),
+    in_two_loads("sellers2", "seller_id", "INTEGER", {"seller_title": "Seller"}, "goods2", "id % 2 = 0", "id % 5 <> 0", "AND Seller IS NOT NULL"),
+    in_two_loads("categories2", "category_id", "BIGINT", {"category1": "Category1", "category2": "Category2", "sub_category": "sub_category"},
+                 "goods2", "id % 2 = 0", "id % 5 <> 0"),
+    """products2 AS (SELECT p.id, p.title_fa, b.brand_id, c.category_id, s.seller_id, p.Price AS price, p.min_price_last_month,
+    p.fake AS is_fake, p.Rate AS rate, p.Rate_cnt AS rate_cnt FROM goods2 p LEFT JOIN brands2 b ON b.name = p.Brand
+    LEFT JOIN categories2 c ON c.category1 = p.Category1 AND c.category2 = p.Category2 AND c.sub_category IS NOT DISTINCT FROM p.sub_category
+    LEFT JOIN sellers2 s ON s.seller_title = p.Seller WHERE p.id % 2 = 0 OR p.id % 5 <> 0)""",
+    """sold1 AS (SELECT id FROM goods2 WHERE id % 2 = 0)""",
+    """comments2 AS (SELECT id, product_id, true AS is_buyer, rate, lang AS recommendation_status,
+    CAST(coalesce(likes + CASE WHEN id % 4 = 0 THEN likes % 2 ELSE 0 END, 0) AS INTEGER) AS likes,
+    CAST(coalesce(dislikes + CASE WHEN id % 5 <> 0 THEN 1 ELSE 0 END, 0) AS INTEGER) AS dislikes, source AS raw_text_normalized,
+    epoch_us(TIMESTAMP '2024-03-01') AS created_at FROM wh_comment
+    WHERE (id % 2 = 0 AND product_id IN (SELECT id FROM sold1)) OR (id % 5 <> 0 AND product_id IN (SELECT id FROM products2)))""",
+))
+
+
+def from_two_loads(name: str, body: str, ctes: str = "") -> None:
+    from_raw(name, body, f"{_two}{', ' if ctes else ''}{ctes}")
+
+
+from_two_loads("w01_second_load", "SELECT DISTINCT user_id FROM shop_log WHERE user_id IS NOT NULL")
+from_two_loads("w05_second_load", "SELECT * FROM cities2")
+from_two_loads("w06_second_load", "SELECT * FROM brands2")
+from_two_loads("w07_second_load", "SELECT * FROM categories2")
+from_two_loads(
+    "w09_second_load",
+    """SELECT session_id, min(user_id) AS user_id, min(city_id) AS city_id
+    FROM shop_log l LEFT JOIN cities2 c ON c.name = l.city GROUP BY session_id""",
+)
+from_two_loads("w10_second_load", "SELECT * FROM products2")
+from_two_loads(
+    "w11_second_load", "SELECT * FROM logs2",
+    in_two_loads(
+        "logs2", "log_id", "BIGINT",
+        {"session_id": "session_id", "product_id": "product_id", "event_type": "event_type", "timestamp": "epoch_us(timestamp)"},
+        "shop_log", "log_id % 3 = 0 AND product_id IN (SELECT id FROM sold1)", "product_id IN (SELECT id FROM products2)"),
+)
+from_two_loads("w12_second_load", "SELECT * FROM comments2")
+_place = "CAST(row_number() OVER (PARTITION BY comment_id ORDER BY aspect_id) AS INTEGER) - 1"
+from_two_loads(
+    "w13_second_load",
+    """SELECT k.aspect_id, k.comment_id, k.pos, nullif(trim(a.term), '') AS term, nullif(trim(a.sentiment), '') AS sentiment,
+      a.negative_pct, a.neutral_pct, a.positive_pct FROM aspects2 k JOIN places a ON a.comment_id = k.comment_id AND a.pos = k.pos""",
+    f"""places AS (SELECT *, {_place} AS pos FROM wh_aspect),
+  """ + in_two_loads(
+        "aspects2", "aspect_id", "BIGINT", {"comment_id": "comment_id", "pos": "pos"}, "places",
+        "comment_id % 2 = 0 AND comment_id IN (SELECT id FROM wh_comment WHERE product_id IN (SELECT id FROM sold1))",
+        "comment_id % 5 <> 0 AND comment_id IN (SELECT id FROM comments2)"),
+)
+from_two_loads(
+    "w14_second_load",
+    """SELECT vec_id AS id, CAST(pos - 1 AS INTEGER) AS pos, x FROM (
+      SELECT vec_id, unnest(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * CASE WHEN first THEN 1 ELSE 2 END)) AS x,
+        generate_subscripts(embedding, 1) AS pos
+      FROM (SELECT *, vec_id % 2 = 0 AND vec_id IN (SELECT id FROM wh_comment WHERE id % 2 = 0 AND product_id IN (SELECT id FROM sold1)) AS first
+        FROM embeddings) WHERE vec_id IN (SELECT id FROM comments2))""",
+)
+from_raw(
+    "w11_incomplete_events",
+    f"""SELECT row_number() OVER (ORDER BY {by_hash('session_id', 'product_id', 'event_type', 'timestamp')}) AS log_id, *
+    FROM (SELECT DISTINCT session_id, product_id, CASE WHEN log_id % 5 <> 0 THEN event_type END AS event_type,
+      CASE WHEN log_id % 7 <> 0 THEN epoch_us(timestamp) END AS timestamp FROM shop_log
+      WHERE product_id IN (SELECT id FROM wh_product))""",
+)

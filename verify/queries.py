@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from souqlytics.operators import (
 from souqlytics.plans import jobs
 from souqlytics.session import scratch_path, stage, tune
 from souqlytics.sources import files, tables
+from souqlytics.sources.stored import StoredTable
 from souqlytics.streaming.incremental import run_new_batches, run_new_files
 from verify.standin import table
 
@@ -1487,3 +1489,107 @@ def _(spark, d):
     """Every usable vector of the table asks for its ten nearest."""
     rows = _uneven_vectors(spark, d)
     return r6(neighbours.search_cells(neighbours.build_cells(rows), rows, k=10), "cosine")
+
+
+# ---- stored tables: batches that overlap ----------------------------------------------
+
+
+def _customers(spark: SparkSession, d: str, name: str) -> StoredTable:
+    return StoredTable(spark, scratch_path(spark, name), "c_custkey bigint, c_acctbal double", ["c_custkey"], buckets=16)
+
+
+def _balances(spark: SparkSession, d: str, rows: str, more: int) -> DataFrame:
+    return table(spark, d, "customer").filter(rows).select(
+        F.col("c_custkey").cast("bigint").alias("c_custkey"), (F.col("c_acctbal") + more).cast("double").alias("c_acctbal"))
+
+
+@query("w03_stored_insert_ignore")
+def _(spark, d):
+    """Even keys first; then, twice, all keys with other values, of which only the odd ones are new."""
+    t = _customers(spark, d, "ignored")
+    t.insert_ignore(_balances(spark, d, "c_custkey % 2 = 0", 0))
+    for _ in range(2):
+        t.insert_ignore(_balances(spark, d, "true", 1))
+    return t.read()
+
+
+@query("w04_stored_upsert")
+def _(spark, d):
+    """Loads that change a third, change nothing, and change a fifth after a compaction."""
+    t = _customers(spark, d, "replaced")
+    t.upsert(_balances(spark, d, "c_custkey % 7 <> 0", 0))
+    for _ in range(2):
+        t.upsert(_balances(spark, d, "c_custkey % 3 = 0", 1))
+    t.compact()
+    t.upsert(_balances(spark, d, "c_custkey % 5 = 0", 2))
+    return t.read()
+
+
+def _batch(spark: SparkSession, d: str, second: bool) -> dict[str, DataFrame]:
+    """Raw rows of one load: fractions, flags that vary, and keys that the other load has too."""
+    i = F.col("id")
+    price = F.concat(F.col("Price").cast("string"), F.when(i % 4 == 1, ".5").when(i % 4 == 2, ".25").otherwise(""))
+    goods_ = catalogue(spark, d).withColumns({
+        "Brand": F.when(i % 2 == 1, F.concat("Brand", F.lit(" new"))).otherwise(F.col("Brand")),
+        "Price": price, "Is_Fake": F.when(i % 3 == 0, "yes").when(i % 3 == 1, "no"),
+    })
+    talk = _with_aspects_json(spark, d).select("id", "aspects_json").join(_raw_comments(spark, d).withColumn("id", F.col("id").cast("bigint")), "id")
+    talk = talk.withColumn("likes", F.concat(F.col("likes").cast("string"), F.when(i % 4 == 0, ".5").otherwise("")))
+    vectors_ = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    if second:
+        return {
+            "products": goods_.filter("id % 5 <> 0").withColumn("title_fa", F.concat(F.lit("new "), "title_fa")),
+            "logs": log(spark, d),
+            "comments": talk.filter("id % 5 <> 0").withColumn("dislikes", F.col("dislikes") + 1),
+            "embeddings": vectors_.withColumn("embedding", F.transform("embedding", lambda x: x * 2)),
+        }
+    return {
+        "products": goods_.filter("id % 2 = 0"), "logs": log(spark, d).filter("log_id % 3 = 0"),
+        "comments": talk.filter("id % 2 = 0"), "embeddings": vectors_.filter("vec_id % 2 = 0"),
+    }
+
+
+@lru_cache(maxsize=4)
+def _two_loads(app: str, spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    folder = scratch_path(spark, "warehouse")
+    for second in (False, True, True):
+        loaded = jobs.load_stored_warehouse(spark, folder, **_batch(spark, d, second), dimension=64)
+    return loaded
+
+
+def _loaded(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table after the first load, the second, and the second again."""
+    return _two_loads(spark.sparkContext.applicationId, spark, d)[name]
+
+
+for _name, _table in (
+    ("w01_second_load", "users"), ("w05_second_load", "cities"), ("w06_second_load", "brands"), ("w07_second_load", "categories"),
+    ("w09_second_load", "sessions"), ("w10_second_load", "products"), ("w13_second_load", "comment_aspects"),
+):
+    query(_name)(lambda spark, d, _table=_table: _loaded(spark, d, _table))
+
+
+@query("w11_second_load")
+def _(spark, d):
+    return _loaded(spark, d, "user_behavior_logs").withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+@query("w12_second_load")
+def _(spark, d):
+    return _loaded(spark, d, "comments").withColumn("created_at", F.unix_micros("created_at"))
+
+
+@query("w14_second_load")
+def _(spark, d):
+    return _loaded(spark, d, "comments_embedding").select("id", F.posexplode("embedded_comment").alias("pos", "x"))
+
+
+@query("w11_incomplete_events")
+def _(spark, d):
+    """The loader variant that keeps events without type or time."""
+    raw = log(spark, d).withColumns({
+        "event_type": F.when(F.col("log_id") % 5 != 0, F.col("event_type")),
+        "timestamp": F.when(F.col("log_id") % 7 != 0, F.col("timestamp")),
+    })
+    loaded = warehouse.load_behavior_logs(raw, table(spark, d, "shop_session"), goods(spark, d), require_complete=False)
+    return loaded.withColumn("timestamp", F.unix_micros("timestamp"))
