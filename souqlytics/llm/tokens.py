@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 
 # Small enough for arrays of 8 bytes per byte of text to stay in a core's cache.
 SLICE_BYTES = 1 << 18
 SLICE_ROWS = 4096
+LONG_WORD = 64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -95,6 +97,10 @@ class Words:
         inverse = _power(_BASE_INV, n)
         h = (total[self.end] - total[self.start]) * inverse[self.start] if n else np.zeros(0, np.uint64)
         self.hash = mix(h + (self.end - self.start).astype(np.uint64))
+        # A polynomial modulo 2^64 is known to fail on long patterned strings: those get another hash.
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            whole = data[self.start[i] : self.end[i]] if fold is None else fold[data[self.start[i] : self.end[i]]].astype(np.uint8)
+            self.hash[i] = xxhash.xxh64_intdigest(whole.tobytes())
         #: words of row i are bounds[i]:bounds[i + 1]
         self.bounds = np.searchsorted(self.start, at)
 
