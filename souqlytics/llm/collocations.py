@@ -21,7 +21,9 @@ TOP = 2_000
 SHARE = 80  # per cent of a phrase's occurrences that lie in one longer phrase
 TRIGGER = 32  # one place in so many starts a chunk
 # Hashes, and bytes of chunks, that a task tallies at a time.
-HASH_BLOCK, PHRASE_BLOCK = 1 << 22, 6 << 20
+HASH_BLOCK, PHRASE_BLOCK = 1 << 22, 4 << 20
+# Scan partitions whose phrases are added up before they are sent on: the same phrases come again in each.
+TOGETHER = 4
 
 # White space and the characters that end a piece, all mapped to one of each.
 PIECE_END = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -245,8 +247,9 @@ def frequent_phrases(dictionary: DataFrame, least: int = LEAST_COUNT) -> DataFra
     short = _filter_of(hashes(False, None), least)
     long = _filter_of(hashes(True, short), least)
     known = sc.broadcast([short, short, long, long])
+    few = dictionary.coalesce(-(-dictionary.rdd.getNumPartitions() // TOGETHER))
     return (
-        dictionary.mapInArrow(lambda batches: _phrase_counts(batches, known.value), "lang string, phrase string, size int, n long")
+        few.mapInArrow(lambda batches: _phrase_counts(batches, known.value), "lang string, phrase string, size int, n long")
         .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0))
     )
 
