@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,24 +30,30 @@ AGAINST = frozenset(
     "social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets complementary contentinfo".split())
 IN_FAVOUR = frozenset("article body content entry main post story text".split())
 
+# A quote delimits a value only behind an equals sign; elsewhere it is a character like others.
+_ATTRIBUTES = r"((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + SKIPPED + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?:" + SKIPPED + r")\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^<]*\Z", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(?:" + SKIPPED + r")\b" + _ATTRIBUTES.replace("((", "(?:(", 1) + r".*?(?:</(?:" + SKIPPED + r")\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"|<[!?][^>]*>", re.S | re.I)
+# What may stand behind the last ``>`` of a page and is not text.
+_TAIL = re.compile(r"<!--.*\Z|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
 _SKIP = re.compile(r"<(" + SKIPPED + r")\b", re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _BLANK = re.compile(r"\s+")
+_LEGAL = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # numbers of the block elements around it
+    node: int  # number of the block element around it, 0 for none
     hint: float
     linked: int
     heading: bool
 
 
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Their names speak of the whole page, not of what the element is.
 ROOTS = frozenset(("html", "body", "main"))
 
@@ -58,6 +64,8 @@ class Element:
     parent: int  # number of the block element around it, 0 for none
     names: frozenset[str]  # parts of its class, id and role
     inside: bool  # an article or main is around it
+    depth: int = 1
+    mark: int = 0  # the nearest article or element that speaks against the text, from itself on
     by_tag: bool = False  # the tag speaks against the text inside
     by_name: bool = False  # a name does
     under: bool = False  # it or an element around it speaks against the text
@@ -68,14 +76,15 @@ def _element(tag: str, attributes: str, parent: int, elements: list[Element]) ->
     inside = around is not None and (around.inside or around.tag in ("article", "main"))
     names = frozenset(p.lower() for m in _NAMES.finditer(attributes) for p in _PART.findall(m[2] or m[3] or m[4] or ""))
     under = around is not None and around.under and tag != "main"
-    e = Element(tag, parent, names, inside)
+    e = Element(tag, parent, names, inside, around.depth + 1 if around else 1)
     e.by_tag = ELEMENT.get(tag, 0.0) < 0 and not (tag == "header" and inside)
     against = names & AGAINST
     if inside or names & IN_FAVOUR:
         against -= {"header"}  # the head of an article, not of the site
     # an article's names tell of its layout, unless it stands among boilerplate
-    e.by_name = bool(against) and tag not in ROOTS and (tag != "article" or under)
+    e.by_name = bool(against) and tag not in ROOTS and tag != "blockquote" and (tag != "article" or under)
     e.under = under or e.by_tag or e.by_name
+    e.mark = len(elements) + 1 if e.by_name or e.by_tag or tag == "article" else around.mark if around else 0
     return e
 
 
@@ -88,14 +97,15 @@ def _leader(blocks: list[Block], elements: list[Element]) -> int:
     free, held = 0, {}
     for b in blocks:
         size = len(b.text) - b.linked
-        if not b.path or not elements[b.path[-1] - 1].under:
+        n = b.node
+        if not n or not elements[n - 1].under:
             free += size
             continue
-        for n in reversed(b.path):
+        while n := elements[n - 1].mark:
             e = elements[n - 1]
             if e.by_name or e.tag == "article":
                 held[n] = held.get(n, 0) + size
-            if e.by_name or e.by_tag:
+            if e.by_name or e.by_tag or not (n := e.parent):
                 break
     # of equals the outermost
     n = max(held, key=lambda n: (held[n], -n), default=0)
@@ -117,51 +127,66 @@ def _give_hints(blocks: list[Block], elements: list[Element]) -> None:
     while n:  # wrappers of most of the text
         elements[n - 1].by_name = False
         n = elements[n - 1].parent
-    for b in blocks:
-        path = [elements[n - 1] for n in b.path]
+    # by element: the hint for plain text and for headings, and whether a tag speaks against them
+    hints: list[tuple[float, float, bool]] = []
+    for number, e in enumerate(elements, 1):
         # the leader or a main lifts what is said around it
-        start = max((i for i, n in enumerate(b.path) if n == leader or path[i].tag == "main"), default=0)
-        hint = 0.0
-        for e in path[start:]:
-            own = _own_hint(e, b.heading)
-            hint = min(hint, own) if own < 0 or hint <= -9.0 else max(hint, own) if hint >= 0 else hint + own
-        if hint <= -9.0 and not any(e.by_tag for e in path[start:]):
+        fresh = not e.parent or number == leader or e.tag == "main"
+        plain, heading, tagged = (0.0, 0.0, False) if fresh else hints[e.parent - 1]
+        hints.append((_joined(plain, _own_hint(e, False)), _joined(heading, _own_hint(e, True)), tagged or e.by_tag))
+    for b in blocks:
+        plain, heading, tagged = hints[b.node - 1] if b.node else (0.0, 0.0, False)
+        hint = heading if b.heading else plain
+        if hint <= -9.0 and not tagged:
             # a name alone is outweighed by long text without links
             words = (b.text.count(" ") + 1) * (1 - b.linked / len(b.text))
             hint += min(max(words - 40, 0) / 20, 9.0)
         b.hint = hint
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, white space folded and character references decoded."""
+def _joined(hint: float, own: float) -> float:
+    if own < 0 or hint <= -9.0:
+        return min(hint, own)
+    return max(hint, own) if hint >= 0 else hint + own
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """The blocks of a page in order, white space folded and character references decoded, and its elements."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # tag, number
     elements: list[Element] = []
     parts: list[tuple[str, bool]] = []
-    link, at = False, 0
+    link, at, headings = False, 0, 0
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def flush() -> None:
         nonlocal link
         text = _BLANK.sub(" ", entities.unescape("".join(p for p, _ in parts))).strip()
         if text:
             linked = sum(len(p) for p, of_link in parts if of_link)
-            out.append(Block(text, tuple(n for _, n in stack), 0.0,
-                             min(linked, len(text)), any(t[0] == "h" and t[1:].isdigit() for t, *_ in stack)))
+            out.append(Block(text, stack[-1][1] if stack else 0, 0.0, min(linked, len(text)), headings > 0))
         parts.clear()
         link = False
 
     def pop(i: int) -> None:
+        nonlocal headings
         flush()
+        for tag, _ in stack[i:]:
+            headings -= tag in HEADINGS
+            opened[tag] -= 1
         del stack[i:]
 
+    last = page.rfind(">")
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last else _TAIL).search(page, at)
         if m is None:
             parts.append((page[at:], link))
             break
         if m.start() > at:
             parts.append((page[at : m.start()], link))
         at = m.end()
+        if m.re is _TAIL:
+            break
         if m[2] is None:
             if (skip := _SKIP.match(m[0])) is not None:
                 # the element ends at its own end tag, not at one of another kind inside it
@@ -174,13 +199,14 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "br":
             parts.append((" ", link))
         elif tag in BLOCKS:
+            if closing and not opened[tag]:
+                flush()
+                continue
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         pop(i)
                         break
-                else:
-                    flush()
                 continue
             flush()
             if stack and stack[-1][0] == "p":
@@ -191,25 +217,35 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             elements.append(_element(tag, m[3] or "", stack[-1][1] if stack else 0, elements))
             stack.append((tag, len(elements)))
+            headings += tag in HEADINGS
+            opened[tag] += 1
     flush()
     _give_hints(out, elements)
-    return out
+    return out, elements
 
 
 def score(b: Block) -> float:
     """How much a block looks like content (over 0) or boilerplate (under 0)."""
-    words = b.text.count(" ") + 1
-    return b.hint + min(words, 40) / 10 - 5.0 * b.linked / len(b.text) + (1.0 if b.heading else 0.0) - 1.5
+    words, linked = b.text.count(" ") + 1, b.linked / len(b.text)
+    own = min(words, 40) / 10 - 1.5
+    if b.hint >= 0 and not b.linked:
+        own = max(own, 0.05)  # short text tells little by itself: what is around it decides
+    if b.hint < 3.0 and words < 30 and _LEGAL.search(b.text):
+        own -= 4.0
+    return b.hint + own - (3.0 if b.hint >= 3.0 else 5.0) * linked + (1.0 if b.heading else 0.0)
 
 
-def smoothness(a: Block, b: Block) -> float:
+def smoothness(a: Block, b: Block, elements: list[Element]) -> float:
     """Cost of giving two neighbours different labels: high for near relatives in the tree."""
-    common = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        common += 1
-    return 2.0 / (1 + len(a.path) + len(b.path) - 2 * common)
+    x, y, steps = a.node, b.node, 0
+    while x != y:
+        # up from the deeper one; between blocks that follow each other every element is passed once
+        if (elements[x - 1].depth if x else 0) >= (elements[y - 1].depth if y else 0):
+            x = elements[x - 1].parent
+        else:
+            y = elements[y - 1].parent
+        steps += 1
+    return 2.0 / (1 + steps)
 
 
 class Network:
@@ -271,7 +307,7 @@ class Network:
         return [v >= 0 for v in level]
 
 
-def content(blocks: list[Block]) -> list[bool]:
+def content(blocks: list[Block], elements: list[Element]) -> list[bool]:
     """The labelling of least cost: a block's own cost where it goes against its score, and the
     smoothness of every pair of neighbours with different labels. Neighbours are blocks next
     to each other on the page, and consecutive blocks of one parent element."""
@@ -283,19 +319,19 @@ def content(blocks: list[Block]) -> list[bool]:
         v = score(b)
         net.join(s, i, v) if v > 0 else net.join(i, t, -v)
         if i:
-            w = smoothness(blocks[i - 1], b)
+            w = smoothness(blocks[i - 1], b, elements)
             net.join(i - 1, i, w, w)
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        parent = elements[b.node - 1].parent if b.node else 0
         if (j := last.get(parent, i)) < i - 1:
-            w = smoothness(blocks[j], b)
+            w = smoothness(blocks[j], b, elements)
             net.join(j, i, w, w)
         last[parent] = i
     return net.source_side(s, t)[:n]
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, keep in zip(blocks, content(blocks)) if keep)
+    blocks, elements = blocks_of(page or "")
+    return "\n".join(b.text for b, keep in zip(blocks, content(blocks, elements)) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
