@@ -41,20 +41,25 @@ _PLACE = 28  # bits for a place in a slice when minima are taken
 class Texts:
     """The documents of a block in order of their id."""
 
-    ids: np.ndarray
+    ids: np.ndarray  # a null id stands after all others, as NULL_ID
+    unknown: np.ndarray  # whose id is null
     column: pa.Array
     at: np.ndarray  # byte offset of each document in the block, and the end
 
     @classmethod
     def of(cls, table: pa.Table) -> Texts:
-        table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        table = table.select(["doc_id", "text", "unknown"]).sort_by([("doc_id", "ascending"), ("unknown", "ascending"), ("text", "ascending")])
+        table = table.combine_chunks()
         column = table.column("text").cast(pa.large_string())
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
         ids = table.column("doc_id").to_numpy().astype(np.int64)
         size = pc.binary_length(column).to_numpy(zero_copy_only=False)
-        return cls(ids, column, np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+        return cls(ids, table.column("unknown").to_numpy(), column, np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+
+    def doc_ids(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=self.unknown)
 
     def slices(self) -> Iterator[tuple[int, pa.Array]]:
         """First document and texts of each slice."""
@@ -84,6 +89,12 @@ def anchors(grams: np.ndarray, left: np.ndarray, window: int, q: int) -> tuple[n
     none = np.zeros(0, np.int64)
     if len(grams) < w:
         return none, none, none
+    if len(grams) > 1 << _PLACE:  # one very long text: places are counted anew every 2^27 windows
+        half = 1 << (_PLACE - 1)
+        parts = [
+            [x + a for x in anchors(grams[a : a + half + w - 1], left[a : a + half], window, q)] for a in range(0, len(grams) - w + 1, half)
+        ]
+        return tuple(np.concatenate(x) for x in zip(*parts))
     place = np.uint64((1 << _PLACE) - 1)
     low = sliding_min((grams & ~place) | np.arange(len(grams), dtype=np.uint64), w)
     start = np.flatnonzero(left[: len(low)] >= window)
@@ -277,6 +288,25 @@ def window_hash(units: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
     return mix(out)
 
 
+def _equal(a: Anchors, first: np.ndarray, lead: np.ndarray, start: np.ndarray, stop: np.ndarray, split: np.ndarray, w: int) -> np.ndarray:
+    """Whether each span holds what its ``lead`` holds: the same bytes, or (``split``) the same units."""
+    out = np.ones(len(lead), bool)
+    other = np.flatnonzero(lead != np.arange(len(lead)))
+    by_unit = other[split[other]] if a.units is not None else other[:0]
+    for i in range(w if len(by_unit) else 0):
+        out[by_unit] &= a.units[first[by_unit] + i] == a.units[first[lead[by_unit]] + i]
+    by_byte = np.setdiff1d(other, by_unit, assume_unique=True)
+    for at in range(0, len(by_byte), 4096):  # some spans at a time: they overlap
+        some = by_byte[at : at + 4096]
+        size, same = stop[some] - start[some], stop[some] - start[some] == stop[lead[some]] - start[lead[some]]
+        some, size = some[same], size[same]
+        out[by_byte[at : at + 4096][~same]] = False
+        if len(some):
+            equal = a.data[spread(start[some], size)] == a.data[spread(start[lead[some]], size)]
+            out[some] = np.logical_and.reduceat(equal, np.concatenate([[0], np.cumsum(size)[:-1]]))
+    return out
+
+
 def _surroundings(method: Method, buckets: int, answers: int):
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
@@ -319,6 +349,8 @@ def _surroundings(method: Method, buckets: int, answers: int):
         head = np.ones(len(kind), bool)
         head[1:] = kind[1:] != kind[:-1]
         lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(head) else np.zeros(0, np.int64)
+        head |= ~_equal(a, first, lead, start, stop, split, w)  # hashes agree, what they stand for does not
+        lead = np.where(head, np.arange(len(head)), lead)
         gone = texts.ids[doc] > texts.ids[doc[lead]]
         if method.within:
             gone |= ~head & (doc == doc[lead])
@@ -395,7 +427,7 @@ def covered(total: int, start: np.ndarray, n: np.ndarray, window: int) -> np.nda
 def without_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, schema: pa.Schema) -> DataFrame:
     """Run the rounds over all documents; see the module's text."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).isNull().alias("unknown"))
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     buckets = max(1, -(-blocks // BLOCKS_PER_BUCKET))

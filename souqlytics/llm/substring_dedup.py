@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from souqlytics.llm.repeats import NULL_ID, Anchors, Items, Method, Texts, anchors, covered, earlier_of, spread, without_repeats
+from souqlytics.llm.repeats import Anchors, Items, Method, Texts, anchors, covered, earlier_of, spread, without_repeats
 from souqlytics.llm.repeats import _KEY as KEY
 from souqlytics.llm.tokens import Words, buffers, grams
 
@@ -116,7 +116,7 @@ class Runs(Method):
             done += size
         zero = np.zeros(0, np.int64)
         return pa.table({
-            "doc_id": pa.array([None if i == NULL_ID else i for i in texts.ids.tolist()], pa.int64()),
+            "doc_id": texts.doc_ids(),
             "n_words": np.concatenate([zero, *total]), "n_removed": np.concatenate([zero, *removed]), "kept_sha256": sha,
         })
 
@@ -133,7 +133,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     64-bit hashes, 20 in a row.
 
     Null text has no words. Rows that repeat an id are documents of their own, and neither is
-    smaller; a null id comes after all others. Texts shorter than the window stay whole. Ids
+    smaller; a null id comes after all others (and ties with 2^63 - 1). Texts shorter than the window stay whole. Ids
     are integers. Other columns are ignored; an empty table gives no rows.
     """
     return without_repeats(docs, Runs(window), id_col, text_col, SCHEMA)
