@@ -43,17 +43,22 @@ def jalali_to_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(valid, F.date_add(F.lit("1600-01-01").cast("date"), days.cast("int")))
 
 
-def parse_gregorian(text: Column) -> Column:
-    """ISO text first, then a few written forms; outside 1677-2262 is null."""
+def parse_gregorian(text: Column, nanosecond_range: bool = False) -> Column:
+    """ISO text first, then a few written forms.
+
+    With ``nanosecond_range`` a time that 64-bit nanoseconds cannot hold (outside 1677-2262) is null.
+    """
     iso = F.when(text.rlike(r"^\d{4}"), text.try_cast("timestamp"))
     parsed = F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in OTHER_FORMATS])
+    if not nanosecond_range:
+        return parsed
     in_range = (parsed >= F.lit("1677-09-22").cast("timestamp")) & (
         parsed < F.lit("2262-04-11").cast("timestamp")
     )
     return F.when(in_range, parsed)
 
 
-def parse_date(c: Column) -> Column:
+def parse_date(c: Column, nanosecond_range: bool = False) -> Column:
     text = strip(c.cast("string"))
     month = reduce(
         lambda acc, im: acc.when(F.contains(text, F.lit(im[1])), im[0]),
@@ -65,7 +70,7 @@ def parse_date(c: Column) -> Column:
     complete = month.isNotNull() & year.isNotNull() & (day > 0)
     return (
         F.when(text.isin("", "nan", "None", "NaT"), None)
-        .when(text.startswith("20"), parse_gregorian(text))
+        .when(text.startswith("20"), parse_gregorian(text, nanosecond_range))
         .when(complete, jalali_to_date(year, month, day).cast("timestamp"))
-        .otherwise(parse_gregorian(text))
+        .otherwise(parse_gregorian(text, nanosecond_range))
     )

@@ -12,7 +12,7 @@ from souqlytics.operators.aspects import Scorer, score_comments
 from souqlytics.operators.cleaning import clean, cleaning_report
 from souqlytics.registry import DATASETS
 from souqlytics.session import stage
-from souqlytics.sources.files import ORDINAL, PART_ROWS, read_csv, read_parquet, with_ordinal, write_parts
+from souqlytics.sources.files import ORDINAL, PART_ROWS, read_csv, read_parquet, write_parts
 from souqlytics.sources.stored import StoredTable
 from souqlytics.sources.tables import publish, save_kpis, save_tables
 
@@ -32,20 +32,20 @@ def clean_job(
 ) -> dict[str, DataFrame]:
     """Clean every registered CSV under ``source``; returns one report per dataset.
 
-    Files without quoted line breaks are split over tasks when ``multi_line`` is off.
+    Turn ``multi_line`` off for files without quoted line breaks: that saves two passes.
     """
     reports = {}
     for name, dataset in DATASETS.items():
         try:
-            raw = read_csv(spark, f"{source}/{name}.csv", multi_line=multi_line)
+            raw = read_csv(spark, f"{source}/{name}.csv", multi_line, ORDINAL)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
         path = f"{target}/{dataset.parts_folder}"
-        write_parts(clean_table(with_ordinal(raw), name), path, rows_per_file)
+        write_parts(clean_table(raw, name), path, rows_per_file)
         cleaned = read_parquet(spark, path).drop("raw_text", "raw_text_normalized")
-        reports[name] = cleaning_report(raw, cleaned)
+        reports[name] = cleaning_report(raw.drop(ORDINAL), cleaned)
     return reports
 
 

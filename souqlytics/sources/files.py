@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souqlytics.registry import find_dataset
+from souqlytics.sources.quoted import read_quoted
 
 PART_ROWS = 50_000
 ORDINAL = "_ordinal"
@@ -33,22 +34,18 @@ def with_ordinal(df: DataFrame, out: str = ORDINAL) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame | None:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, ordinal: str | None = None) -> DataFrame | None:
     """Registered dataset by file stem, all columns as text; None means "skip".
 
-    Columns are those of the header line, whatever their order. ``multi_line`` keeps quoted line breaks intact but reads each file in one task;
-    turn it off for files known to have none, so that large files are split.
+    Columns are those of the header lines, matched by name over the files of a folder. Large
+    files are read by many tasks, with quoted line breaks too; ``multi_line`` off saves two
+    passes over files known to have none. ``ordinal`` names a column for the place of each row.
     """
     stem, suffix = dataset_of(path)
     if find_dataset(stem) is None or suffix != "csv":
         return None
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    placed = read_quoted(spark, path, ordinal or ORDINAL, multi_line)
+    return placed if ordinal else placed.drop(ORDINAL)
 
 
 def read_parquet(

@@ -60,6 +60,18 @@ add(
     "SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in RAW_COLUMNS) + " FROM raw_product",
     "raw_product",
 )
+add(
+    "s01_mixed_headers",
+    """SELECT CAST(id AS VARCHAR) AS id, title_fa || ', "new"' || chr(10) || chr(10) || Brand AS title_fa, Brand || ' 5"' AS Brand,
+      CASE WHEN id % 2 = 1 THEN Category1 END AS Category1 FROM catalogue""",
+    "catalogue",
+)
+add(
+    "b06_far_years",
+    """SELECT o_orderkey, epoch_us(t) AS kept, CASE WHEN o_orderkey % 3 = 2 THEN epoch_us(t) END AS near FROM (
+      SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN '1500' WHEN 1 THEN '2300' ELSE '1999' END
+        || substr(CAST(o_orderdate AS VARCHAR), 5, 4) || '15' AS TIMESTAMP) AS t FROM orders)""",
+)
 add("s03_parquet_folder_scan", "SELECT * FROM customer")
 add(
     "s04_schema_union_scan",

@@ -145,6 +145,31 @@ def _(spark, d):
     return files.read_csv(spark, folder)
 
 
+@query("s01_mixed_headers")
+def _(spark, d):
+    """A folder of files with two header orders, one extra column, and quoted line breaks, commas and quotes."""
+    raw = table(spark, d, "catalogue").select(
+        F.col("id").cast("string").alias("id"), F.concat("title_fa", F.lit(', "new"\n\n'), "Brand").alias("title_fa"),
+        F.concat("Brand", F.lit(' 5"')).alias("Brand"), F.col("Category1"))
+    folder = f"{scratch_path(spark, 's01-mixed')}/products.csv"
+    parts = (("id % 2 = 0", ["id", "title_fa", "Brand"]), ("id % 2 = 1", ["Category1", "Brand", "id", "title_fa"]))
+    for rows, names in parts:
+        raw.filter(rows).select(*names).write.mode("append").option("header", True).option("escape", '"').csv(folder)
+    return files.read_csv(spark, folder)
+
+
+@query("b06_far_years")
+def _(spark, d):
+    """Dates that 64-bit nanoseconds cannot hold are kept, unless asked for otherwise."""
+    day = F.concat(
+        F.when(F.col("o_orderkey") % 3 == 0, "1500").when(F.col("o_orderkey") % 3 == 1, "2300").otherwise("1999"),
+        F.substring(F.col("o_orderdate").cast("string"), 5, 4), F.lit("15"))
+    rows = table(spark, d, "orders").select("o_orderkey", day.alias("text"))
+    return rows.select(
+        "o_orderkey", F.unix_micros(parse_date(F.col("text"))).alias("kept"),
+        F.unix_micros(parse_date(F.col("text"), nanosecond_range=True)).alias("near"))
+
+
 @query("s03_parquet_folder_scan")
 def _(spark, d):
     path = scratch_path(spark, "s03")
@@ -285,7 +310,7 @@ def _(spark, d):
 @query("b06_dates")
 def _(spark, d):
     return table(spark, d, "raw_comment").select(
-        "doc_id", F.unix_micros(parse_date(F.col("created_at"))).alias("created_us")
+        "doc_id", F.unix_micros(parse_date(F.col("created_at"), nanosecond_range=True)).alias("created_us")
     )
 
 
