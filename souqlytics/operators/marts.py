@@ -7,7 +7,7 @@ distinct count needs, so the log is joined to its sessions once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souqlytics.functions.numbers import ratio
@@ -291,22 +291,13 @@ def feature_user_category(cube: DataFrame, products: DataFrame) -> DataFrame:
             F.sum(spend).cast("double").alias("category_spend"),
         )
     )
-    totals = per_category.groupBy("user_id").agg(
-        F.sum("view_count").alias("_views"),
-        F.sum("purchase_count").alias("_purchases"),
-        F.sum("category_spend").alias("_spend"),
-    )
-    return (
-        per_category.join(totals, "user_id")
-        .withColumns(
-            {
-                "view_share": ratio(F.col("view_count"), F.col("_views")),
-                "purchase_share": ratio(F.col("purchase_count"), F.col("_purchases")),
-                "spend_share": ratio(F.col("category_spend"), F.col("_spend")),
-            }
-        )
-        .drop("_views", "_purchases", "_spend")
-    )
+    # a user has at most a row per category
+    own = Window.partitionBy("user_id")
+    return per_category.withColumns({
+        "view_share": ratio(F.col("view_count"), F.sum("view_count").over(own)),
+        "purchase_share": ratio(F.col("purchase_count"), F.sum("purchase_count").over(own)),
+        "spend_share": ratio(F.col("category_spend"), F.sum("category_spend").over(own)),
+    })
 
 
 def _mentions(suffix: str) -> list[Column]:

@@ -131,3 +131,56 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("name")
         .agg(((value_at(left) + value_at(right)) / 2).alias("median"))
     )
+
+
+# Bits of a sort key that one pass of a selection tells apart.
+DIGIT = 16
+
+
+def lowest(df: DataFrame, group: Column, keys: list[str], quotas: dict[object, int]) -> Column:
+    """A condition that holds for the ``quotas[g]`` rows of each group g with the lowest keys.
+
+    ``keys`` are long columns of ``df`` (a table on disk: it is scanned some times) that together
+    tell all rows apart. Nothing is sorted: a histogram of the upper 16 bits of a key tells
+    where the last row wanted is, one of all values in that bin tells its key, and rows
+    that share this key are told apart by the next one. Groups are few, as their quotas
+    are a dict.
+    """
+    rank = F.lit(False)
+    live = {g: n for g, n in quotas.items() if n > 0}
+    tied = F.lit(True)
+    for key in keys:
+        if not live:
+            break
+        lead = F.shiftright(key, 64 - DIGIT)
+        bins = _reached(df.filter(_in(group, live) & tied), group, lead, live)
+        in_bin = tied & F.coalesce(_of(group, {g: b for g, (b, _) in bins.items()}) == lead, F.lit(False))
+        left = {g: live[g] - before for g, (_, before) in bins.items()}
+        last = _reached(df.filter(_in(group, left) & in_bin), group, F.col(key), left)
+        bound = _of(group, {g: k for g, (k, _) in last.items()})
+        rank = rank | (tied & F.coalesce(F.col(key) < bound, F.lit(False)))
+        live = {g: left[g] - before for g, (_, before) in last.items()}
+        tied = tied & F.coalesce(F.col(key) == bound, F.lit(False))
+    return rank | tied if live else rank
+
+
+def _in(group: Column, quotas: dict) -> Column:
+    return F.coalesce(_of(group, {g: 1 for g in quotas}) == 1, F.lit(False))
+
+
+def _of(group: Column, values: dict) -> Column:
+    """The value of each row's group, null where it has none."""
+    out = F.lit(None).cast("long")
+    for g, v in values.items():
+        out = F.when(group.eqNullSafe(F.lit(g)), F.lit(v).cast("long")).otherwise(out)
+    return out
+
+
+def _reached(df: DataFrame, group: Column, value: Column, quotas: dict) -> dict[object, tuple[int, int]]:
+    """Per group the value at which the quota is reached, and how many rows lie below it."""
+    counts = df.groupBy(group.alias("g"), value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # at most 65,536 bins a group, or the values of one bin
+    upto = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("n").over(upto))
+    hit = placed.filter((F.col("upto") >= _of(F.col("g"), quotas)) & (F.col("upto") - F.col("n") < _of(F.col("g"), quotas)))
+    return {r.g: (r.v, r.upto - r.n) for r in hit.collect()}  # a row per group

@@ -6,13 +6,16 @@ character offsets; -1 marks a term that was not found.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souqlytics.functions import spans as S
 from souqlytics.functions.numbers import ratio
 from souqlytics.functions.text import normalize, strip
-from souqlytics.operators.ranking import number_rows, running_total
+from souqlytics.operators.ranking import lowest, running_total
+from souqlytics.session import stage
 from souqlytics.sources.files import ORDINAL
 
 LABEL_IDS = {"negative": 0, "neutral": 1, "positive": 2}
@@ -452,47 +455,49 @@ def json_line_counts(lines: DataFrame, fold=normalize) -> DataFrame:
 # ---- splits, labels, tags -----------------------------------------------------------
 
 
+def _hashed(df: DataFrame, seed: int, order: Column | None = None) -> DataFrame:
+    """Rows on disk with a seeded hash and, for copies, a hash of their place there."""
+    placed = df.withColumn("_h", F.xxhash64(*df.columns, F.lit(seed)) if order is None else order.cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+    return stage(placed.withColumn("_tie", F.xxhash64("_tie", F.lit(seed))), "hashed")
+
+
 def split_rows(
-    df: DataFrame, label: str, share: float = TEST_SHARE, seed: int = SEED
+    df: DataFrame, label: str, share: float = TEST_SHARE, seed: int = SEED, test: float = 0.0,
+    order: Column | None = None,
 ) -> DataFrame:
-    """P10: column ``split``: per label the share of rows with the lowest seeded hash.
+    """P10: column ``split``: per label the share of rows with the lowest seeded hash is held out.
 
-    Falls back to an overall split when a label has a single row.
+    Of the rows held out the share ``test``, again those with the lowest hash and over all labels,
+    is ``test``, the rest ``validation``. The first cut falls back to an overall one when a label
+    has a single row. ``order`` stands in for the hash. Labels are few; rows are not sorted or joined.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*df.columns, F.lit(seed)))
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    smallest, total = sizes.agg(F.min("_n"), F.sum("_n")).first()
-    if smallest is not None and smallest >= 2:
-        numbered = number_rows(hashed, [F.col(label), F.col("_h")], "_no", unique=False)
-        # One row per label.
-        bounds = numbered.groupBy(F.col(label).alias("_l")).agg(
-            F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_n")
-        )
-        placed = numbered.join(bounds, numbered[label].eqNullSafe(bounds["_l"]))
-        in_test = F.col("_no") - F.col("_first") + 1 <= F.floor(F.col("_n") * share + 0.5)
+    hashed = _hashed(df, seed, order)
+    sizes = {r[0]: r[1] for r in hashed.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    if sizes and min(sizes.values()) >= 2:
+        quotas = {g: math.floor(n * share + 0.5) for g, n in sizes.items()}
+        group = F.col(label)
     else:
-        placed = number_rows(hashed, [F.col("_h")], "_no", unique=False)
-        in_test = F.col("_no") <= F.ceil(F.lit((total or 0) * share))
-    split = F.when(in_test, "validation").otherwise("train")
-    return placed.withColumn("split", split).select(*df.columns, "split")
+        quotas, group = {0: math.ceil(sum(sizes.values()) * share)}, F.lit(0)
+    held = lowest(hashed, group, ["_h", "_tie"], quotas)
+    out = F.when(held, "validation").otherwise("train")
+    if test:
+        part = lowest(hashed.filter(held), F.lit(0), ["_h", "_tie"], {0: math.floor(sum(quotas.values()) * test + 0.5)})
+        out = F.when(held & part, "test").otherwise(out)
+    return hashed.withColumn("split", out).select(*df.columns, "split")
 
 
 def add_extra(
     train: DataFrame, extra: DataFrame | None = None, synthetic: DataFrame | None = None,
     share: float = SYNTHETIC_SHARE, seed: int = SEED,
 ) -> DataFrame:
-    """Real extra rows, then synthetic rows up to a share of what is there."""
+    """Real extra rows, then synthetic rows (lowest hash first) up to a share of what is there."""
     out = train.select(*COLUMNS)
     if extra is not None:
         out = out.unionByName(extra.select(*COLUMNS))
     if synthetic is not None:
-        allowed = int(out.count() * share)
-        rows = synthetic.select(*COLUMNS)
-        numbered = number_rows(
-            rows.withColumn("_h", F.xxhash64(*COLUMNS, F.lit(seed))), [F.col("_h")], "_no",
-            unique=False,
-        )
-        out = out.unionByName(numbered.filter(F.col("_no") <= allowed).select(*COLUMNS))
+        hashed = _hashed(synthetic.select(*COLUMNS), seed)
+        allowed = min(int(out.count() * share), hashed.count())
+        out = out.unionByName(hashed.filter(lowest(hashed, F.lit(0), ["_h", "_tie"], {0: allowed})).select(*COLUMNS))
     return out
 
 

@@ -314,3 +314,15 @@ def test_top_k_matches_brute_force_in_one_and_many_passes(spark):
     for size in (1 << 20, 200):
         out = neighbours.top_k_cosine(c.repartition(3), q, 5, query_bytes=size)
         assert sorted(tuple(r) for r in out.select("query_id", "id", "rank").collect()) == expect
+
+
+def test_lowest_tells_copies_apart(spark):
+    """Quota selection against a sort, with one row a third of all."""
+    from souqlytics.operators.ranking import lowest
+
+    rows = [("a" if i % 3 else None, 7 if i % 2 else (i * 2654435761) % 2**40 - 2**39, i * 7919 % 100_003) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, h long, tie long")
+    for quotas in ({"a": 250, None: 120}, {"a": 0, None: 1}, {"a": 600, None: 300}, {}):
+        got = df.filter(lowest(df, F.col("g"), ["h", "tie"], quotas)).collect()
+        want = [r for g, n in quotas.items() for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])[:n]]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -1225,6 +1225,10 @@ label_query(
 ORACLE["p10_split_rows"] = """WITH n AS (SELECT lang, count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS v
   FROM documents GROUP BY lang)
 SELECT lang, 'validation' AS split, v AS n FROM n WHERE v > 0 UNION ALL SELECT lang, 'train', n - v FROM n"""
+ORACLE["p10_three_parts"] = """WITH h AS (SELECT doc_id, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS h FROM documents),
+held AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) <= floor(count(*) OVER (PARTITION BY lang) * 0.2 + 0.5) AS out FROM h),
+cut AS (SELECT *, row_number() OVER (PARTITION BY out ORDER BY h) <= floor(count(*) OVER (PARTITION BY out) * 0.5 + 0.5) AS first FROM held)
+SELECT doc_id, lang, CASE WHEN NOT out THEN 'train' WHEN first THEN 'test' ELSE 'validation' END AS split FROM cut"""
 label_query(
     "p11_add_extra",
     """SELECT false AS synthetic, 2 * count(*) AS n FROM labelled

@@ -1371,6 +1371,14 @@ def _(spark, d):
     )
 
 
+@query("p10_three_parts")
+def _(spark, d):
+    """Row ids of train, validation and test, by a hash that SQL has too."""
+    rows = table(spark, d, "documents").select("doc_id", "lang")
+    order = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10)
+    return trainprep.split_rows(rows, "lang", test=0.5, order=order)
+
+
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     return trainprep.located_pairs(_labelled(spark, d))
 
