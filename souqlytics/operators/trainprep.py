@@ -164,7 +164,9 @@ def token_line_sentences(lines: DataFrame) -> DataFrame:
     """(file, sentence, polarity_raw, words) from token-per-line text.
 
     A ``[..@@@..]`` line opens a sentence; numbering them is a running count over
-    the whole input, so a file of any size is spread over tasks.
+    the whole input, so a file of any size is spread over tasks. Lines in front of a file's
+    first marker belong to no sentence and sentences without a polarity line are left out,
+    before anything is gathered: a file without markers gives nothing.
     """
     line = F.col("line")
     bracket = line.startswith("[") & line.endswith("]") & ~F.contains(line, F.lit("\t"))
@@ -180,15 +182,20 @@ def token_line_sentences(lines: DataFrame) -> DataFrame:
         F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("word"),
         F.coalesce(F.get(cells, F.lit(2)) == "T", F.lit(False)).alias("target"),
     )
-    return (
+    groups = (
         numbered.groupBy("file", "sentence")
         .agg(
             F.max_by(F.when(is_label, F.col("line")), F.when(is_label, F.col(ORDINAL))).alias("_l"),
-            F.array_sort(F.collect_list(F.when(~F.col("bracket"), word))).alias("words"),
+            F.max("opens").alias("_opened"),
         )
-        .withColumn("polarity_raw", strip(F.translate("_l", "[]", "")))
-        .select("file", "sentence", "polarity_raw", "words")
+        .filter((F.col("_opened") == 1) & F.col("_l").isNotNull())
+        .select("file", "sentence", strip(F.translate("_l", "[]", "")).alias("polarity_raw"))
+    )
+    words = (
+        numbered.filter(~F.col("bracket")).join(groups.select("file", "sentence"), ["file", "sentence"], "left_semi")
+        .groupBy("file", "sentence").agg(F.array_sort(F.collect_list(word)).alias("words"))
     )
+    return groups.join(words, ["file", "sentence"], "left").withColumn("words", F.coalesce("words", F.array()))
 
 
 def target_spans(words: Column) -> Column:

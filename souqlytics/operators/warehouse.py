@@ -418,10 +418,12 @@ def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
             out.append(result(nulls, "not_null", name, c))
     for child, column, parent, key in FOREIGN_KEYS:
         if child in tables and parent in tables:
+            # keys are counted first: a hot key meets its parent as one row
             values = (
-                tables[child].filter(F.col(column).isNotNull()).select(F.col(column).alias("_k"))
+                tables[child].filter(F.col(column).isNotNull())
+                .groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("_rows"))
             )
             known = tables[parent].select(F.col(key).alias("_k"))
-            orphans = values.join(known, "_k", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+            orphans = values.join(known, "_k", "left_anti").agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"))
             out.append(result(orphans, "foreign_key", child, column))
     return reduce(DataFrame.unionByName, out)

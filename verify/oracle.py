@@ -1132,11 +1132,12 @@ from_log(
 # ---- labelled spans -----------------------------------------------------------------
 
 LABELLED = NORM + """,
-picked AS (SELECT doc_id, text, list_filter(string_split(text, ' '), lambda w: length(w) > 4) AS ws FROM norm),
+picked AS (SELECT doc_id, w, unnest(range(0, (len(w) + 11) // 12)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM norm)),
+word_pieces AS (SELECT doc_id, i, w[i * 12 + 1 : i * 12 + 12] AS ws FROM picked),
 labelled AS (SELECT doc_id, no, text, term, CASE doc_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END
     AS polarity, strpos(text, term) - 1 AS place, strpos(text, term) - 1 + doc_id % 2 AS given
-  FROM (SELECT doc_id, 0 AS no, text, ws[1] AS term FROM picked UNION ALL SELECT doc_id, 1, text, ws[4] FROM picked)
-  WHERE term IS NOT NULL),
+  FROM (SELECT doc_id, i * 12 + j - 1 AS no, array_to_string(ws, ' ') AS text, ws[j] AS term
+    FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM word_pieces)) WHERE length(term) > 4),
 second AS (SELECT *, CASE WHEN strpos(substring(text, place + 1 + length(term)), term) > 0
     THEN place + length(term) + strpos(substring(text, place + 1 + length(term)), term) - 1 END AS place2 FROM labelled),
 located AS (SELECT doc_id, no, text, term, polarity,
@@ -1159,7 +1160,7 @@ label_query(
 )
 label_query(
     "p02_extract_examples",
-    f"SELECT doc_id * 2 + no AS batch, text AS review_text, {_int('2')} AS aspects FROM labelled",
+    f"SELECT doc_id * 1000000 + no AS batch, text AS review_text, {_int('2')} AS aspects FROM labelled",
 )
 ORACLE["p03_batch_plan"] = """WITH kinds AS (SELECT p_type AS category, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS hints,
     row_number() OVER (ORDER BY p_type) - 1 AS pos FROM part GROUP BY p_type)

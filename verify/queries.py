@@ -1184,12 +1184,12 @@ def _(spark, d):
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Folded document texts with the first two words of fixed length as terms."""
-    folded = spans.once(texts(spark, d), text=text.normalize(F.col("text")))
-    words = F.filter(F.split("text", " "), lambda w: F.length(w) > 4)
-    terms = F.filter(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(3))), lambda w: w.isNotNull())
-    rows = folded.select("doc_id", "text", F.posexplode_outer(terms).alias("no", "term"))
-    return rows.filter(F.col("term").isNotNull()).select(
+    """Folded document texts in pieces of twelve words, each word of over four characters as a term."""
+    folded = spans.once(texts(spark, d), words=F.split(text.normalize(F.col("text")), " "))
+    pieces = folded.select("doc_id", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size("words") / 12).cast("int") - 1), lambda i: F.slice("words", i * 12 + 1, 12))).alias("piece", "words"))
+    rows = pieces.select("doc_id", "piece", F.array_join("words", " ").alias("text"), F.posexplode("words").alias("at", "term"))
+    return rows.filter(F.length("term") > 4).withColumn("no", F.col("piece") * 12 + F.col("at")).select(
         "doc_id", "no", "text", "term",
         F.element_at(F.array(*[F.lit(c) for c in aspects.CLASSES]), (F.col("doc_id") % 3 + 1).cast("int"))
         .alias("polarity"),
@@ -1205,7 +1205,7 @@ def _examples_json(spark: SparkSession, d: str) -> DataFrame:
     aspect = F.struct("term", F.upper("polarity").alias("polarity"))
     bad = F.struct(F.lit("no such term").alias("term"), F.lit("positive").alias("polarity"))
     per_text = _labelled(spark, d).select(
-        (F.col("doc_id") * 2 + F.col("no")).alias("batch"),
+        (F.col("doc_id") * 1_000_000 + F.col("no")).alias("batch"),
         F.struct(F.col("text").alias("review_text"), F.array(aspect, bad).alias("aspects")).alias("ex"),
     )
     raw = F.when(
