@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Columns that are charted, correlated and counted as stages (fixed values).
 BEHAVIOUR_COLUMNS = (
     "is_view", "is_cart", "is_purchase", "is_remove", "conversion_rate", "cart_abandon_rate",
 )

@@ -154,7 +154,11 @@ add(
     + " FROM raw_product",
     "raw_product",
 )
-_months = "فروردین اردیبهشت خرداد تیر مرداد شهریور مهر آبان آذر دی بهمن اسفند".split()
+# Month names in order (fixed values).
+_months = (
+    "فروردین", "اردیبهشت", "خرداد", "تیر", "مرداد", "شهریور",
+    "مهر", "آبان", "آذر", "دی", "بهمن", "اسفند",
+)
 _month_case = "CASE " + " ".join(
     f"WHEN contains(created_at, '{m}') THEN {i}" for i, m in enumerate(_months, 1)
 ) + " END"
