@@ -43,10 +43,11 @@ def jalali_to_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(valid, F.date_add(F.lit("1600-01-01").cast("date"), days.cast("int")))
 
 
-def parse_gregorian(text: Column, nanosecond_range: bool = False) -> Column:
+def parse_gregorian(text: Column, nanosecond_range: bool = True) -> Column:
     """ISO text first, then a few written forms.
 
-    With ``nanosecond_range`` a time that 64-bit nanoseconds cannot hold (outside 1677-2262) is null.
+    A time that 64-bit nanoseconds cannot hold (outside 1677-2262) is null, as the definitions
+    have it; with ``nanosecond_range`` off it is kept.
     """
     iso = F.when(text.rlike(r"^\d{4}"), text.try_cast("timestamp"))
     parsed = F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in OTHER_FORMATS])
@@ -58,7 +59,7 @@ def parse_gregorian(text: Column, nanosecond_range: bool = False) -> Column:
     return F.when(in_range, parsed)
 
 
-def parse_date(c: Column, nanosecond_range: bool = False) -> Column:
+def parse_date(c: Column, nanosecond_range: bool = True) -> Column:
     text = strip(c.cast("string"))
     month = reduce(
         lambda acc, im: acc.when(F.contains(text, F.lit(im[1])), im[0]),

@@ -165,8 +165,8 @@ def token_line_sentences(lines: DataFrame) -> DataFrame:
 
     A ``[..@@@..]`` line opens a sentence; numbering them is a running count over
     the whole input, so a file of any size is spread over tasks. Lines in front of a file's
-    first marker belong to no sentence and sentences without a polarity line are left out,
-    before anything is gathered: a file without markers gives nothing.
+    first marker are a sentence too. Sentences without a polarity line are left out before
+    anything is gathered.
     """
     line = F.col("line")
     bracket = line.startswith("[") & line.endswith("]") & ~F.contains(line, F.lit("\t"))
@@ -186,9 +186,8 @@ def token_line_sentences(lines: DataFrame) -> DataFrame:
         numbered.groupBy("file", "sentence")
         .agg(
             F.max_by(F.when(is_label, F.col("line")), F.when(is_label, F.col(ORDINAL))).alias("_l"),
-            F.max("opens").alias("_opened"),
         )
-        .filter((F.col("_opened") == 1) & F.col("_l").isNotNull())
+        .filter(F.col("_l").isNotNull())
         .select("file", "sentence", strip(F.translate("_l", "[]", "")).alias("polarity_raw"))
     )
     words = (

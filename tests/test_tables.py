@@ -228,8 +228,10 @@ def test_product_load_keeps_the_null_category_quirk(spark):
     )
     dims = warehouse.load_brands(raw), warehouse.load_categories(raw), warehouse.load_sellers(raw)
     first = warehouse.load_products(raw, *dims)
+    found = dims[1].filter("category2 = 'd'").first().category_id
+    assert sorted(r.category_id for r in dims[1].collect()) == [1, 2]
     assert rows(first, "id", "brand_id", "category_id", "seller_id", "price", "is_fake") == [
-        (1, 1, 2, 1, 10, True), (2, 1, None, None, 7, False)
+        (1, 1, found, 1, 10, True), (2, 1, None, None, 7, False)
     ]
     changed = raw.withColumn("Price", F.lit("99")).filter("id = '2'")
     assert rows(warehouse.load_products(changed, *dims, first), "id", "price") == [(1, 10), (2, 99)]
@@ -303,7 +305,7 @@ def test_exploration(spark):
     assert got["a", "b"] == pytest.approx(1.0) and got["a", "c"] == pytest.approx(1.0)
 
 
-def test_top_k_matches_brute_force_in_one_and_many_passes(spark):
+def test_top_k_matches_brute_force_with_one_and_many_cells(spark):
     rng = np.random.default_rng(3)
     corpus, queries = rng.normal(size=(200, 8)), rng.normal(size=(6, 8))
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "id long, vector array<double>")
@@ -311,8 +313,8 @@ def test_top_k_matches_brute_force_in_one_and_many_passes(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     best = np.argsort(-(unit(queries) @ unit(corpus).T), axis=1)[:, :5]
     expect = sorted((i, int(b), r + 1) for i, ids in enumerate(best) for r, b in enumerate(ids))
-    for size in (1 << 20, 200):
-        out = neighbours.top_k_cosine(c.repartition(3), q, 5, query_bytes=size)
+    for cells in (1, 9):
+        out = neighbours.top_k_cosine(c.repartition(3), q, 5, cells=cells)
         assert sorted(tuple(r) for r in out.select("query_id", "id", "rank").collect()) == expect
 
 

@@ -160,14 +160,14 @@ def _(spark, d):
 
 @query("b06_far_years")
 def _(spark, d):
-    """Dates that 64-bit nanoseconds cannot hold are kept, unless asked for otherwise."""
+    """Dates that 64-bit nanoseconds cannot hold, kept on request."""
     day = F.concat(
         F.when(F.col("o_orderkey") % 3 == 0, "1500").when(F.col("o_orderkey") % 3 == 1, "2300").otherwise("1999"),
         F.substring(F.col("o_orderdate").cast("string"), 5, 4), F.lit("15"))
     rows = table(spark, d, "orders").select("o_orderkey", day.alias("text"))
     return rows.select(
-        "o_orderkey", F.unix_micros(parse_date(F.col("text"))).alias("kept"),
-        F.unix_micros(parse_date(F.col("text"), nanosecond_range=True)).alias("near"))
+        "o_orderkey", F.unix_micros(parse_date(F.col("text"), nanosecond_range=False)).alias("kept"),
+        F.unix_micros(parse_date(F.col("text"))).alias("near"))
 
 
 @query("s03_parquet_folder_scan")
@@ -310,7 +310,7 @@ def _(spark, d):
 @query("b06_dates")
 def _(spark, d):
     return table(spark, d, "raw_comment").select(
-        "doc_id", F.unix_micros(parse_date(F.col("created_at"), nanosecond_range=True)).alias("created_us")
+        "doc_id", F.unix_micros(parse_date(F.col("created_at"))).alias("created_us")
     )
 
 
