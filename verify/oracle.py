@@ -899,8 +899,9 @@ spans_query("i06_label_aspects", "SELECT * FROM labelled")
 spans_query(
     "i07_attach_aspects",
     f"""SELECT d.doc_id AS id, CAST(coalesce(n, 0) AS INTEGER) AS num_aspects, first_term,
-      {big('coalesce(m, 0)')} AS mentions
-    FROM documents d LEFT JOIN (SELECT comment_id, count(*) AS n, arg_min(term, pos) AS first_term, sum(mentions) AS m
+      {big('coalesce(m, 0)')} AS mentions, coalesce(items, '') AS items
+    FROM documents d LEFT JOIN (SELECT comment_id, count(*) AS n, arg_min(term, pos) AS first_term, sum(mentions) AS m,
+        string_agg(term || '|' || sentiment || '|' || mentions, ',' ORDER BY pos) AS items
       FROM labelled GROUP BY comment_id) a ON a.comment_id = d.doc_id""",
 )
 spans_query(
@@ -955,8 +956,8 @@ mood_query(
     "j00_predictions",
     """SELECT c.id, CASE WHEN n IS NULL THEN NULL WHEN neg >= neu AND neg >= pos THEN 'negative'
       WHEN neu >= pos THEN 'neutral' ELSE 'positive' END AS predicted_sentiment,
-      CAST(coalesce(terms, 0) AS INTEGER) AS terms
-    FROM wh_comment c LEFT JOIN (SELECT comment_id, count(*) AS n, count(term) AS terms, avg(negative_pct) AS neg,
+      CAST(coalesce(terms, 0) AS INTEGER) AS terms, coalesce(aspects, '') AS aspects
+    FROM wh_comment c LEFT JOIN (SELECT comment_id, count(*) AS n, count(term) AS terms, string_agg(term, ',' ORDER BY aspect_id) AS aspects, avg(negative_pct) AS neg,
       avg(neutral_pct) AS neu, avg(positive_pct) AS pos FROM wh_aspect GROUP BY comment_id) a ON a.comment_id = c.id""",
     "",
 )
@@ -1255,12 +1256,13 @@ reviews AS (SELECT DISTINCT text AS doc_id, text AS t FROM per_review),
 {words_of('reviews')},
 hits AS (SELECT w.doc_id, w.i, min(p.s) AS first FROM words w JOIN per_review p ON p.text = w.doc_id AND w.s >= p.s
   AND w.e <= p.e GROUP BY w.doc_id, w.i),
-tags AS (SELECT w.doc_id, CASE WHEN h.first IS NULL THEN 0 WHEN h.first = w.s THEN 1 ELSE 2 END AS tag
+tags AS (SELECT w.doc_id, w.i, CASE WHEN h.first IS NULL THEN 0 WHEN h.first = w.s THEN 1 ELSE 2 END AS tag
   FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.i = w.i)"""
 label_query(
     "p14_tagged_reviews",
     f"""SELECT md5(doc_id) AS text_md5, {_int('count(*)')} AS tokens,
-      {_int('count(*) FILTER (WHERE tag = 1)')} AS begins, {_int('count(*) FILTER (WHERE tag = 2)')} AS insides
+      {_int('count(*) FILTER (WHERE tag = 1)')} AS begins, {_int('count(*) FILTER (WHERE tag = 2)')} AS insides,
+      string_agg(CASE tag WHEN 1 THEN 'B' WHEN 2 THEN 'I' ELSE 'O' END, '' ORDER BY i) AS tags
     FROM tags GROUP BY doc_id""",
     TAGS,
 )

@@ -968,6 +968,7 @@ def _(spark, d):
     return aspects.attach_aspects(base, labelled).select(
         "id", "num_aspects", F.get(items, F.lit(0))["term"].alias("first_term"),
         F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x["mentions"]).alias("mentions"),
+        F.array_join(F.transform(items, lambda x: F.concat_ws("|", x["term"], x["sentiment"], x["mentions"])), ",").alias("items"),
     )
 
 
@@ -991,7 +992,8 @@ def _(spark, d):
 def _(spark, d):
     out = sentiment.predictions(_with_aspects_json(spark, d))
     return out.select(
-        "id", "predicted_sentiment", F.size(F.filter("predicted_aspects", lambda a: a.isNotNull())).alias("terms")
+        "id", "predicted_sentiment", F.size(F.filter("predicted_aspects", lambda a: a.isNotNull())).alias("terms"),
+        F.coalesce(F.array_join("predicted_aspects", ","), F.lit("")).alias("aspects"),
     )
 
 
@@ -1414,6 +1416,7 @@ def _(spark, d):
     return _tagged_reviews(spark, d).select(
         F.md5("review_text").alias("text_md5"), F.size("tags").alias("tokens"),
         ones(spans.TAG_B).alias("begins"), ones(spans.TAG_I).alias("insides"),
+        F.array_join(F.transform("tags", lambda x: F.when(x == spans.TAG_B, "B").when(x == spans.TAG_I, "I").otherwise("O")), "").alias("tags"),
     )
 
 
