@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from souqlytics.llm.tokens import Words, buffers, grams, last_column, slices, with_text
 
@@ -16,8 +17,6 @@ THRESHOLD = 0.8
 # Shingles of test items that one pass holds in each task (16 bytes each, and an index).
 PASS_SHINGLES = 1_000_000
 
-ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
 # Word characters after lower-casing: all but ASCII white space, punctuation and controls.
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -129,6 +128,7 @@ def find_leaks(
     pairs. Null ids are returned as null. Other columns are ignored; an empty table gives no rows.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, shared long, shingles long, containment double"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
     out = None
@@ -142,7 +142,7 @@ def find_leaks(
                 sizes = [len(known.sets[i]) for _, i, _ in found]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64())),
-                    pa.array([known.ids[i] for _, i, _ in found], ITEM_TYPES.get(item_kind)),
+                    pa.array([known.ids[i] for _, i, _ in found], item_type),
                     pa.array([n for _, _, n in found], pa.int64()), pa.array(sizes, pa.int64()),
                     pa.array([n / s for (_, _, n), s in zip(found, sizes)], pa.float64()),
                 ], ["doc_id", "item_id", "shared", "shingles", "containment"])

@@ -192,6 +192,16 @@ def test_places_of_very_long_texts(monkeypatch):
     assert sum(got[s] == want[s] for s in want) > 0.99 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["smallint", "string", "date", "decimal(5,0)"])
+def test_item_ids_of_any_type(spark, kind):
+    texts = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    value = "date'2024-01-02'" if kind == "date" else "7"
+    items = texts.selectExpr(f"cast({value} as {kind}) as item_id", "text")
+    got = decontaminate.find_leaks(texts, items)
+    assert dict(got.dtypes)["item_id"] == kind
+    assert [(r.doc_id, r.shared) for r in got.collect()] == [(1, 2)]
+
+
 def test_line_dedup(spark, docs, none):
     got = {r.doc_id: r.removed for r in line_dedup.line_dedup(docs).collect()}
     assert got[1] == [] and got[2] == [0] and got[3] == [] and got[6] == [0]  # case is folded
