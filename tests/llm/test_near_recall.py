@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from souqlytics.llm import near_dedup
+from souqlytics.llm.components import components
 
 
 def shingles(words):
@@ -51,3 +52,21 @@ def test_weights_are_those_of_the_words(spark):
             want.append((i, sum(map(weight, s)) / len(s)))
     assert np.allclose(sorted(zip(row.tolist(), got.tolist())), sorted(want))
     assert (got >= 1 - 1e-9).all() and (got <= 2 + 1e-9).all()
+
+
+def test_passes_of_groups_write_few_files(spark):
+    """Small link tables: a pass writes a file per core at the most, whatever the number of shuffle partitions."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 400, 2)] + [(1, 2)], "a long, b long")
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        labels = components(links)
+        files = len(labels.inputFiles())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = {i: i - i % 2 for i in range(400)} | {2: 0, 3: 0}
+    assert {r.id: r.label for r in labels.collect()} == want
+    assert files <= spark.sparkContext.defaultParallelism + 1
