@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from souqlytics.functions import spans as S
 from souqlytics.functions.numbers import ratio
-from souqlytics.functions.text import normalize, strip
-from souqlytics.operators.ranking import lowest, running_total
+from souqlytics.functions.text import let, normalize, strip
+from souqlytics.operators.ranking import lowest
 from souqlytics.session import stage
 from souqlytics.sources.files import ORDINAL
 
@@ -284,6 +284,21 @@ def place_aspects(text: Column, aspects: Column) -> Column:
     def free(used: Column, start: Column, size: Column) -> Column:
         return ~F.exists(used, lambda u: (start < u["end"]) & (start + size > u["start"]))
 
+    def first_free(used: Column, term: Column, size: Column) -> Column:
+        """Most terms are free at their first or second place; only others need all places."""
+        def of_all() -> Column:
+            return F.get(F.filter(S.occurrences(text, term), lambda p: free(used, p, size)), F.lit(0))
+
+        def second(at: Column) -> Column:
+            return F.when(at < 0, None).when(free(used, at, size), at).otherwise(of_all())
+
+        def first(at: Column) -> Column:
+            return F.when(at < 0, None).when(free(used, at, size), at).otherwise(
+                let(S.next_place(text, term, at + size), second)
+            )
+
+        return F.when(F.contains(text, F.lit(S.MARK)), of_all()).when(size > 0, let(F.instr(text, term) - 1, first))
+
     def tidy(a: Column) -> Column:
         return F.struct(
             _text(a["term"]).alias("term"), F.lower(_text(a["polarity"])).alias("polarity"),
@@ -298,9 +313,7 @@ def place_aspects(text: Column, aspects: Column) -> Column:
             & (F.substring(text, start + 1, end - start) == term),
             F.lit(False),
         )
-        hit = F.get(
-            F.filter(S.occurrences(text, term), lambda p: free(acc["used"], p, size)), F.lit(0)
-        )
+        hit = first_free(acc["used"], term, size)
         usable = (term != "") & _is_class(a["polarity"])
         at = F.when(usable, F.when(given, start).otherwise(hit))
         state = F.when(~usable, "polarity_invalid").when(at.isNull(), "term_not_found").otherwise("ok")
