@@ -107,24 +107,34 @@ def example_counts(batches: DataFrame) -> DataFrame:
 
     An unusable or repeated example counts as one drop, otherwise each bad aspect does.
     """
-    checked = _checked_examples(batches)
-    place = F.struct("batch", "idx")
+    checked = stage(
+        _checked_examples(batches).select(
+            "review_text", "batch", "idx", F.size("valid").alias("n_valid"), "n_aspects",
+            F.when(F.col("n_aspects") == 0, 1).otherwise(F.col("n_aspects") - F.size("valid")).alias("bad"),
+        ),
+        "checked",
+    )
+    has_text, usable = F.col("review_text") != "", F.col("n_valid") > 0
+    # Of each text the examples at its first place with an acceptable aspect, and how many there are in all.
     winners = (
-        checked.filter((F.col("review_text") != "") & (F.size("valid") > 0))
+        checked.filter(has_text & usable).groupBy("review_text", "batch", "idx")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_valid").alias("n_valid"), F.sum("bad").alias("bad"))
         .groupBy("review_text")
-        .agg(F.min(place).alias("winner"))
+        .agg(F.min(F.struct("batch", "idx", "n", "n_valid", "bad")).alias("first"), F.sum("n").alias("n"))
+        .select("review_text", F.struct("first.batch", "first.idx").alias("winner"), "first.n_valid",
+                (F.col("n") - F.col("first.n") + F.col("first.bad")).alias("dropped"))
     )
+    place, none = F.struct("batch", "idx"), F.lit(0).cast("long").alias("kept")
     repeated = F.coalesce(place > F.col("winner"), F.lit(False))
-    dropped = (
-        F.when(F.col("review_text") == "", 1)
-        .when(repeated, 1)
-        .when(F.col("n_aspects") == 0, 1)
-        .otherwise(F.col("n_aspects") - F.size("valid"))
-    )
-    kept = F.when(place == F.col("winner"), F.size("valid")).otherwise(0)
-    return checked.join(winners, "review_text", "left").agg(
-        F.coalesce(F.sum(kept), F.lit(0)).alias("kept"),
-        F.coalesce(F.sum(dropped), F.lit(0)).alias("dropped"),
+    parts = [
+        winners.select(F.col("n_valid").alias("kept"), "dropped"),
+        checked.filter(has_text & ~usable).join(winners.select("review_text", "winner"), "review_text", "left")
+        .select(none, F.when(repeated, 1).otherwise(F.col("bad")).cast("long").alias("dropped")),
+        checked.filter(~has_text).select(none, F.lit(1).cast("long").alias("dropped")),
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).agg(
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"),
+        F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"),
     )
 
 
