@@ -358,34 +358,34 @@ def place_aspects(text: Column, aspects: Column) -> Column:
 
 def _json_examples(lines: DataFrame) -> DataFrame:
     """One row per line with its state, category and examples, whatever its shape."""
-    text = strip(F.col("line"))
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-
     def has(*names: str) -> Column:
         out = F.lit(True)
         for n in names:
-            out &= F.array_contains(keys, n)
+            out &= F.array_contains("keys", n)
         return out
 
-    inner = F.from_json("o.raw", f"struct<examples:{EXAMPLES},category:string>")
     flat = F.struct("o.term", "o.polarity", "o.asp_start", "o.asp_end")
     single = F.struct(
         F.col("o.review_text").alias("review_text"), F.array(flat).alias("aspects")
     )
     whole = F.struct(F.col("o.review_text").alias("review_text"), F.col("o.aspects").alias("aspects"))
     none = F.array().cast(EXAMPLES)
-    return (
-        lines.filter(text != "")
-        .select(
-            text.alias("line"), F.from_json(text, LINE).alias("o"),
-            F.try_parse_json(text).isNotNull().alias("decoded"),
+    # Each line is cut and parsed once, however many columns ask for it.
+    text = S.once(lines.select("line"), line=strip(F.col("line"))).filter("line <> ''")
+    parsed = S.once(
+        text, o=F.from_json("line", LINE), decoded=F.try_parse_json("line").isNotNull(),
+        keys=F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>")),
+    )
+    shaped = (
+        parsed.select(
+            "o", "decoded",
             F.when(has("examples"), "examples")
             .when(has("raw"), "raw")
             .when(has("review_text", "aspects"), "aspects")
             .when(has("review_text", "term", "polarity"), "flat")
             .alias("shape"),
         )
-        .withColumn("raw_ok", F.try_parse_json("o.raw").isNotNull())
+        .withColumn("raw_ok", (F.col("shape") == "raw") & F.try_parse_json("o.raw").isNotNull())
         .withColumn(
             "state",
             F.when(~F.col("decoded"), "json_decode_fail")
@@ -395,17 +395,20 @@ def _json_examples(lines: DataFrame) -> DataFrame:
             )
             .otherwise("ok"),
         )
+    )
+    return (
+        S.once(shaped, inner=F.when(F.col("shape") == "raw", F.from_json("o.raw", f"struct<examples:{EXAMPLES},category:string>")))
         .select(
             "state",
             F.when(
-                F.col("shape") == "raw", F.coalesce(F.nullif("o.category", F.lit("")), inner["category"])
+                F.col("shape") == "raw", F.coalesce(F.nullif("o.category", F.lit("")), F.col("inner.category"))
             )
             .otherwise(F.col("o.category"))
             .alias("category"),
             F.coalesce(
                 F.when(F.col("state") != "ok", none)
                 .when(F.col("shape") == "examples", F.col("o.examples"))
-                .when(F.col("shape") == "raw", inner["examples"])
+                .when(F.col("shape") == "raw", F.col("inner.examples"))
                 .when(F.col("shape") == "aspects", F.array(whole))
                 .otherwise(F.array(single)),
                 none,
