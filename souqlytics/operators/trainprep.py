@@ -527,6 +527,7 @@ def add_extra(
     if extra is not None:
         out = out.unionByName(extra.select(*COLUMNS))
     if synthetic is not None:
+        out = stage(out, "train")  # counted, then read: worked out once
         hashed = _hashed(synthetic.select(*COLUMNS), seed)
         allowed = min(int(out.count() * share), hashed.count())
         out = out.unionByName(hashed.filter(lowest(hashed, F.lit(0), ["_h", "_tie"], {0: allowed})).select(*COLUMNS))

@@ -1190,7 +1190,8 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     folded = spans.once(texts(spark, d), words=F.split(text.normalize(F.col("text")), " "))
     pieces = folded.select("doc_id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.ceil(F.size("words") / 12).cast("int") - 1), lambda i: F.slice("words", i * 12 + 1, 12))).alias("piece", "words"))
-    rows = pieces.select("doc_id", "piece", F.array_join("words", " ").alias("text"), F.posexplode("words").alias("at", "term"))
+    pieces = pieces.withColumn("text", F.array_join("words", " "))  # once a piece, not once a word
+    rows = pieces.select("doc_id", "piece", "text", F.posexplode("words").alias("at", "term"))
     return rows.filter(F.length("term") > 4).withColumn("no", F.col("piece") * 12 + F.col("at")).select(
         "doc_id", "no", "text", "term",
         F.element_at(F.array(*[F.lit(c) for c in aspects.CLASSES]), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -1387,7 +1388,7 @@ def _examples(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p11_add_extra")
 def _(spark, d):
-    rows = _examples(spark, d)
+    rows = stage(_examples(spark, d), "examples")
     whole = trainprep.add_extra(rows, rows, rows.withColumn("polarity", F.lit("synthetic")))
     return whole.groupBy((F.col("polarity") == "synthetic").alias("synthetic")).agg(
         F.count(F.lit(1)).alias("n")
