@@ -7,8 +7,11 @@ character offsets; -1 marks a term that was not found.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from souqlytics.functions import spans as S
@@ -170,41 +173,80 @@ def located_pairs(pairs: DataFrame, fold=normalize) -> DataFrame:
     return _realigned(located, fold).select(*COLUMNS)
 
 
+def _openers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to the lines of a scan the ``seq`` of the last opening line in front of them in their split."""
+    split, last, seen = None, -1, -1
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        seq = table["seq"].to_numpy()
+        files, blocks = table["file"].combine_chunks().dictionary_encode(), table["block"].to_numpy()
+        codes = files.indices.to_numpy()
+        if np.any(np.diff(seq, prepend=seen) <= 0):
+            raise ValueError("lines have to come in the order of their scan")
+        seen = seq[-1]
+        change = np.flatnonzero((np.diff(codes) != 0) | (np.diff(blocks) != 0)) + 1
+        opener = np.where(table["opens"].to_numpy(), seq, -1)
+        for start, end in zip(np.concatenate(([0], change)), np.concatenate((change, [len(seq)]))):
+            here = (files.dictionary[codes[start]].as_py(), blocks[start])
+            last = last if here == split else -1
+            split = here
+            opener[start:end] = np.maximum(np.maximum.accumulate(opener[start:end]), last)
+            last = opener[end - 1]
+        out = table.drop_columns(["opens"]).append_column("opener", pa.array(opener))
+        yield from out.combine_chunks().to_batches()
+
+
 def token_line_sentences(lines: DataFrame) -> DataFrame:
-    """(file, sentence, polarity_raw, words) from token-per-line text.
+    """(file, sentence, polarity_raw, words) from token-per-line text in the order of its scan.
 
-    A ``[..@@@..]`` line opens a sentence; numbering them is a running count over
-    the whole input, so a file of any size is spread over tasks. Lines in front of a file's
-    first marker are a sentence too. Sentences without a polarity line are left out before
+    A ``[..@@@..]`` line opens a sentence, whose number is the place of that line in the scan. It
+    is carried along the lines of a split; where a split begins inside a sentence, one row
+    per split tells which. No line is sorted. Lines in front of a file's first marker are a
+    sentence too (a negative number). Sentences without a polarity line are left out before
     anything is gathered.
     """
     line = F.col("line")
     bracket = line.startswith("[") & line.endswith("]") & ~F.contains(line, F.lit("\t"))
     opens = bracket & F.contains(line, F.lit("@@@"))
-    marked = lines.filter(strip(line) != "").select(
-        "file", ORDINAL, "line", bracket.alias("bracket"), opens.cast("long").alias("opens")
-    )
-    numbered = running_total(marked, [F.col(ORDINAL)], "opens", "sentence")
+    place = F.col(ORDINAL)
     cells = F.split("line", "\t")
-    is_label = F.col("bracket") & (F.col("opens") == 0)
-    word = F.struct(
-        F.col(ORDINAL).alias("at"),
-        F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("word"),
+    marked = lines.filter(strip(line) != "").select(
+        "file", place["block"].alias("block"), place["seq"].alias("seq"), bracket.alias("bracket"), opens.alias("opens"),
+        F.when(bracket, ~opens).alias("is_label"), F.when(bracket, line).alias("line"),
+        F.when(~bracket, F.coalesce(F.get(cells, F.lit(1)), F.lit(""))).alias("word"),
         F.coalesce(F.get(cells, F.lit(2)) == "T", F.lit(False)).alias("target"),
     )
-    groups = (
-        numbered.groupBy("file", "sentence")
-        .agg(
-            F.max_by(F.when(is_label, F.col("line")), F.when(is_label, F.col(ORDINAL))).alias("_l"),
-        )
-        .filter(F.col("_l").isNotNull())
+    # One row per split of a file: what is open where it begins.
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = F.broadcast(
+        marked.groupBy("file", "block").agg(F.min("seq").alias("first"), F.max(F.when(F.col("opens"), F.col("seq"))).alias("last"))
+        .select("file", "block", F.coalesce(F.last("last", ignorenulls=True).over(earlier), -1 - F.first("first").over(
+            Window.partitionBy("file").orderBy("block"))).alias("head"))
+    )
+
+    def numbered(some: DataFrame, *columns: str) -> DataFrame:
+        kept = some.select("file", "block", "seq", "opens", *columns)
+        fields = ", ".join(f"{c} {t}" for c, t in kept.dtypes if c != "opens")
+        return kept.mapInArrow(_openers, f"{fields}, opener long").join(heads, ["file", "block"]).withColumn(
+            "sentence", F.when(F.col("opener") >= 0, F.col("opener")).otherwise(F.col("head")))
+
+    # Lines in brackets are few and hold all that labels need.
+    labels = (
+        numbered(marked.filter("bracket"), "is_label", "line").filter("is_label").groupBy("sentence")
+        .agg(F.max_by("line", F.struct("block", "seq")).alias("_l"), F.first("file").alias("file"))
         .select("file", "sentence", strip(F.translate("_l", "[]", "")).alias("polarity_raw"))
     )
+    groups = stage(labels, "sentences")
+    word = F.struct("block", "seq", "word", "target")
     words = (
-        numbered.filter(~F.col("bracket")).join(groups.select("file", "sentence"), ["file", "sentence"], "left_semi")
-        .groupBy("file", "sentence").agg(F.array_sort(F.collect_list(word)).alias("words"))
+        numbered(marked.filter("opens OR NOT bracket"), "word", "target").filter("word IS NOT NULL").select("sentence", "block", "seq", "word", "target")
+        .join(groups.select("sentence"), "sentence", "left_semi")
+        .groupBy("sentence").agg(F.sort_array(F.collect_list(word)).alias("words"))
     )
-    return groups.join(words, ["file", "sentence"], "left").withColumn("words", F.coalesce("words", F.array()))
+    return groups.join(words, "sentence", "left").select(
+        "file", "sentence", "polarity_raw", F.coalesce("words", F.array()).alias("words"))
 
 
 def target_spans(words: Column) -> Column:
