@@ -20,6 +20,9 @@ MOST_CELLS = 1024
 FIT_ROUNDS = 8
 # Vectors of a cell and queries of a cell that one task scores against each other.
 BLOCK_ROWS = 2048
+# Queries that are held against the centres at a time, and (query, cell) pairs given on at a time.
+QUERY_ROWS = 512
+PAIR_ROWS = 8192
 # Cosines, and angles (an angle near 0 is known to 2e-8), closer than this count as equal where
 # vectors are skipped.
 SLACK, ANGLE_SLACK = 1e-9, 1e-7
@@ -105,10 +108,12 @@ def build_cells(corpus: DataFrame, dimension: int | None = None, cells: int | No
     centres = _fit(_matrix(sample["vector"]), cells) if len(sample) else np.zeros((0, dimension))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            angle = _angles(_matrix(batch["vector"]), centres)
-            cell = np.argmin(angle, axis=1)
-            yield batch.assign(cell=cell.astype("int32"), angle=angle[np.arange(len(batch)), cell])
+        for whole in batches:
+            for at in range(0, len(whole), QUERY_ROWS):
+                batch = whole.iloc[at:at + QUERY_ROWS]
+                angle = _angles(_matrix(batch["vector"]), centres)
+                cell = np.argmin(angle, axis=1)
+                yield batch.assign(cell=cell.astype("int32"), angle=angle[np.arange(len(batch)), cell])
 
     placed = stage(units.mapInPandas(assign, "id bigint, vector array<double>, cell int, angle double"), "cells")
     radius, count = np.zeros(len(centres)), np.zeros(len(centres), "int64")
@@ -173,10 +178,18 @@ def cells_to_read(index: CellIndex, queries: DataFrame, k: int) -> tuple[DataFra
     centres, radius, count = index.centres, index.radius, index.count
     schema = "query_id bigint, cell int, query array<double>"
 
-    def pairs(batch: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
-        row, cell = np.nonzero(wanted)
-        return pd.DataFrame({
-            "query_id": batch["query_id"].to_numpy()[row], "cell": cell.astype("int32"), "query": batch["query"].to_numpy()[row]})
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_ROWS):
+                yield batch.iloc[at:at + QUERY_ROWS]
+
+    def pairs(batch: pd.DataFrame, wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+        """A query that reads many cells stands in as many rows, so they leave in small pieces."""
+        rows, cells = np.nonzero(wanted)
+        ids, vectors = batch["query_id"].to_numpy(), batch["query"].to_numpy()
+        for at in range(0, len(rows), PAIR_ROWS):
+            row, cell = rows[at:at + PAIR_ROWS], cells[at:at + PAIR_ROWS]
+            yield pd.DataFrame({"query_id": ids[row], "cell": cell.astype("int32"), "query": vectors[row]})
 
     def nearest(angle: np.ndarray) -> np.ndarray:
         order = np.argsort(angle, axis=1, kind="stable")
@@ -186,15 +199,15 @@ def cells_to_read(index: CellIndex, queries: DataFrame, k: int) -> tuple[DataFra
         return wanted & (count > 0)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pairs(batch, nearest(_angles(_matrix(batch["query"]), centres)))
+        for batch in pieces(batches):
+            yield from pairs(batch, nearest(_angles(_matrix(batch["query"]), centres)))
 
     def then(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             angle = _angles(_matrix(batch["query"]), centres)
             bound = np.arccos(np.clip(batch["kth"].to_numpy() - SLACK, -1.0, 1.0))
             may = angle - radius <= bound[:, None] + ANGLE_SLACK
-            yield pairs(batch, may & ~nearest(angle) & (count > 0))
+            yield from pairs(batch, may & ~nearest(angle) & (count > 0))
 
     near = stage(queries.mapInPandas(first, schema), "near-cells")
     found = stage(_scored(index, near, k), "near-vectors")
